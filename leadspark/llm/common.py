@@ -43,20 +43,33 @@ def ascii_lower(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """mapInArrow in slices of BATCH_ROWS rows; make() runs once in each task and returns the function of a slice."""
+def map_batches(df: DataFrame, make: Callable[[], tuple[Callable, Callable] | Callable], schema: str) -> DataFrame:
+    """mapInArrow in slices of BATCH_ROWS rows. make() runs once in each task and returns the function of a slice, or
+    that and a function of nothing whose batches come last; both may return None."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
+        made = make()
+        each, finish = made if isinstance(made, tuple) else (made, lambda: None)
         for batch in batches:
             for start in range(0, batch.num_rows, BATCH_ROWS):
                 out = each(batch.slice(start, BATCH_ROWS))
                 if out is not None and out.num_rows:
                     yield out
+        if (out := finish()) is not None and out.num_rows:
+            yield out
 
     return df.mapInArrow(run, schema)
 
 
+def remainder(doc_id: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def record(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()], list(columns))
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     """The texts of a slice as UTF-8; null is empty."""
     for value in batch.column(name):

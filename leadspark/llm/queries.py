@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import decontaminate, mixing, pii, sharding, simhash
+from leadspark.llm import brown, decontaminate, mixing, pii, sharding, simhash
 from leadspark.llm.common import table
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.report(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +35,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_decontamination, op5_pii, op6_sharding, op7_mixing, op10_simhash]
+    found = [op1_brown, op2_decontamination, op5_pii, op6_sharding, op7_mixing, op10_simhash]
     return {f.__name__: f for f in found}
 
 
