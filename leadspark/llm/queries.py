@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import brown, decontaminate, mixing, pii, sharding, simhash
+from leadspark.llm import brown, decontaminate, mixing, pii, sharding, simhash, toxicity
 from leadspark.llm.common import table
 
 
@@ -30,12 +30,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_brown, op2_decontamination, op5_pii, op6_sharding, op7_mixing, op10_simhash]
+    found = [op1_brown, op2_decontamination, op5_pii, op6_sharding, op7_mixing, op8_toxicity, op10_simhash]
     return {f.__name__: f for f in found}
 
 
