@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import decontaminate, mixing, sharding, simhash
+from leadspark.llm import decontaminate, mixing, quality, sharding, simhash
 from leadspark.llm.common import materialise, table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on these documents' weak labels, rejects go."""
+    return quality.filter_documents(docs)
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return simhash.deduplicate(docs)
@@ -29,6 +34,7 @@ def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", quality_stage),
     ("SimHash near-dedup", dedup_stage),
     ("benchmark decontamination", decontaminate_stage),
     ("mixing sources to target weights", mix_stage),

@@ -10,8 +10,8 @@ Ranks are exact and never need a source in one task: counts of (source, size, sa
 rank, and only within such a group are rows numbered.
 
 Defined results: a null text has no words; the null source is a source like others and comes last; sources without
-words have target 0; repeated rows are trials of their own. Columns of the documents are kept as they are; names
-that start with `mix_` are ours.
+words have target 0; repeated rows are trials of their own. Columns of the documents are kept as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -62,10 +62,11 @@ def _uniform(key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def plan(documents: DataFrame, seed: int = SEED) -> DataFrame:
-    """documents with mix_size, mix_source_size, mix_target and mix_copies, how often the mix takes the row."""
-    order = F.xxhash64(F.lit(seed), "doc_id", "text")
-    docs = documents.withColumns({"mix_size": n_words(F.col("text")), "mix_order": order, "mix_salt": F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(SALT)).cast("int")})
+def plan(documents: DataFrame, columns: list[str], seed: int = SEED) -> DataFrame:
+    """For each row its columns as the struct `row`, its doc_id, mix_size, mix_source_size, mix_target and mix_copies,
+    how often the mix takes it."""
+    order, salt = F.xxhash64(F.lit(seed), "doc_id", "text"), F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(SALT)).cast("int")
+    docs = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row") if columns else F.lit(0).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("mix_size"), order.alias("mix_order"), salt.alias("mix_salt"))
     groups = materialise(docs.groupBy(F.col("source").alias("mix_source"), F.col("mix_size").alias("g_size"), F.col("mix_salt").alias("g_salt")).agg(F.count("*").alias("n")), "mix-groups")
     sizes = groups.groupBy("mix_source").agg(F.sum(F.col("g_size") * F.col("n")).alias("mix_source_size"))
     rates = materialise(targets(sizes), "mix-targets")
@@ -85,16 +86,14 @@ def plan(documents: DataFrame, seed: int = SEED) -> DataFrame:
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     whole, rank, start = F.floor(rate), F.col("first") + F.col("mix_row"), _uniform(F.coalesce(F.col("mix_source"), F.lit("")))
     extra = F.floor((rate - whole) * (rank + 1) + start) - F.floor((rate - whole) * rank + start)
-    return both.withColumn("mix_copies", (whole + extra).cast("int")).drop("mix_order", "mix_salt", "mix_row", "mix_source", "g_size", "g_salt", "first")
+    return both.withColumn("mix_copies", (whole + extra).cast("int")).select("row", "doc_id", "mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def mix(documents: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: the rows of documents, each as often as the plan says."""
-    taken = plan(documents, seed).where("mix_copies > 0")
-    return taken.withColumn("mix_", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    taken = plan(documents, documents.columns, seed).where("mix_copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies"))).alias("copy")).select("row.*")
 
 
 def report(documents: DataFrame) -> DataFrame:
-    # The hash of the text orders ties and must be there, but not the text in the shuffle.
-    thin = documents.select("doc_id", "source", "text")
-    return plan(thin).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    return plan(documents, []).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadspark.llm import brown, decontaminate, mixing, pii, sharding, simhash, toxicity
+from leadspark.llm import ann, brown, decontaminate, mixing, pii, quality, sharding, simhash, token_counts, toxicity
 from leadspark.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.report(table(spark, sf_dir, "embeddings"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -34,12 +42,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_brown, op2_decontamination, op5_pii, op6_sharding, op7_mixing, op8_toxicity, op10_simhash]
+    found = [op1_brown, op2_decontamination, op3_quality, op4_ann, op5_pii, op6_sharding, op7_mixing, op8_toxicity, op9_token_counts, op10_simhash]
     return {f.__name__: f for f in found}
 
 

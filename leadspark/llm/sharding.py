@@ -12,7 +12,7 @@ hashes of doc_id into SUBCELLS with the same place on the ring, and overflows pi
 Law: `bytes`. Slots number a shard's rows without gaps, from counts of hash buckets, never with a shard in one task.
 
 Defined results: a null text has no bytes and counts as empty; null doc_ids hash like others; repeated rows are rows
-of their own; columns of the documents are kept, names that start with `shard_` are ours.
+of their own; columns of the documents are kept whatever their names, but for `shard` and `slot`, which are replaced.
 """
 
 from __future__ import annotations
@@ -39,16 +39,18 @@ def _bits(h: Column, n: int) -> Column:
     return F.shiftrightunsigned(h, 64 - (n.bit_length() - 1)).cast("int")
 
 
-def with_keys(documents: DataFrame) -> DataFrame:
-    """documents with shard_size, shard_crc, shard_cell, shard_sub and shard_bucket."""
+def with_keys(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns as the struct `row`, doc_id, and shard_size, shard_crc, shard_cell, shard_sub, shard_bucket."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.withColumns({
-        "shard_size": (F.octet_length(text) + 1).cast("long"),
-        "shard_crc": F.crc32(text.cast("binary")),
-        "shard_cell": _bits(F.xxhash64(text), CELLS),
-        "shard_sub": _bits(F.xxhash64(F.lit("sub"), "doc_id"), SUBCELLS),
-        "shard_bucket": _bits(F.xxhash64(F.lit("slot"), "doc_id"), BUCKETS),
-    })
+    return documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row") if columns else F.lit(0).alias("row"),
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("shard_size"),
+        F.crc32(text.cast("binary")).alias("shard_crc"),
+        _bits(F.xxhash64(text), CELLS).alias("shard_cell"),
+        _bits(F.xxhash64(F.lit("sub"), "doc_id"), SUBCELLS).alias("shard_sub"),
+        _bits(F.xxhash64(F.lit("slot"), "doc_id"), BUCKETS).alias("shard_bucket"),
+    )
 
 
 def _hash(*parts: object) -> int:
@@ -106,7 +108,7 @@ def with_slot(df: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def _thin(documents: DataFrame) -> DataFrame:
-    return materialise(with_keys(documents.select("doc_id", "text")).drop("text"), "shard-keys")
+    return materialise(with_keys(documents, []).drop("row"), "shard-keys")
 
 
 def report(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -120,5 +122,6 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, epsilon: float =
     """documents, all columns, with shard and slot."""
     thin = _thin(documents)
     large, placed = plan(thin, shards, epsilon)
-    df = with_slot(with_shard(with_keys(documents), large, placed), with_shard(thin, large, placed))
-    return df.select(*[F.col(f"`{c}`") for c in documents.columns], "shard", "slot")
+    columns = [c for c in documents.columns if c not in ("shard", "slot")]
+    df = with_slot(with_shard(with_keys(documents, columns), large, placed), with_shard(thin, large, placed))
+    return df.select("row.*", "shard", "slot")

@@ -142,7 +142,9 @@ def report(documents: DataFrame) -> DataFrame:
 def deduplicate(documents: DataFrame) -> DataFrame:
     """documents with one row of each component, that of the smallest doc_id; rows without doc_id stay only if no
     row of their component has one. All columns stay."""
-    found = cluster(documents)
+    found = materialise(cluster(documents), "simhash-found")
     gone = materialise(found.where("not (doc_id <=> component_id)").select("doc_id").distinct(), "simhash-gone")
+    twice = found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1")
     gone = gone.select(F.col("doc_id").alias("_id"))
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_id"]), "left_anti").dropDuplicates(["doc_id"])
+    kept = documents.join(gone, documents["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])

@@ -15,6 +15,7 @@ row each; with no labelled rows every score is 0.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -32,9 +33,9 @@ THRESHOLD = 0.3
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c"}
 #: Characters that may be filler inside a word, and those that hide one letter.
 FILLER, MASK = "._-*~'`^ ", "*"
-#: Natural logarithms of the channel's probabilities: of a reading of leetspeak, of dropping filler or a repeated letter, and
-#: of keeping either.
-READ, DROP, KEEP, GUESS = -0.7, -0.7, -4.0, -2.5
+#: Natural logarithms of the channel's probabilities: of a reading of leetspeak, of dropping filler or a repeated
+#: letter, of keeping what may be read otherwise, of a masked letter, and of dropping one of a mere double.
+READ, DROP, KEEP, GUESS, DOUBLE = -0.7, -0.7, -4.0, -2.5, -8.0
 #: Symbols of the character model: 0 for all that is no letter, a to z, and what the other UTF-8 bytes map to.
 SYMBOLS = 96
 #: Words of which a task remembers the restored form.
@@ -86,8 +87,9 @@ def char_counts(documents: DataFrame) -> np.ndarray:
     return out
 
 
-def _readings(c: str, before: str) -> list[tuple[str, float]]:
-    """What a character may stand for, '' for nothing, with the channel's log probability."""
+def _readings(c: str, repeats: int) -> list[tuple[str, float]]:
+    """What a character may stand for, '' for nothing, with the channel's log probability. repeats: the length of the
+    run of this character if it isn't the first of it, else 0; plain double letters are seldom typing for effect."""
     if c in LEET:
         found = [(x, READ) for x in LEET[c]] + [(c, KEEP)]
     elif c.isalpha():
@@ -98,20 +100,29 @@ def _readings(c: str, before: str) -> list[tuple[str, float]]:
         found.append(("", DROP))
     if c in MASK:
         found += [(x, GUESS + np.log(1 / 26)) for x in "abcdefghijklmnopqrstuvwxyz"]
-    if c == before and c.isalpha():
-        found.append(("", DROP if c.isascii() else KEEP))
+    if repeats and c.isalpha():
+        found.append(("", DROP if repeats > 2 and c.isascii() else DOUBLE))
     return found
 
 
+def _repeats(word: str) -> list[int]:
+    """For each character the length of its run, 0 for the first of it."""
+    out = []
+    for _, run in itertools.groupby(word):
+        n = len(list(run))
+        out += [0] + [n] * (n - 1)
+    return out
+
+
 def decode(word: str, model: CharModel) -> str:
     """The most likely meaning of an obfuscated word: a Viterbi path over its lattice. A state is the last two
     symbols written; a run of three or more of one letter may only stay as one or two of it."""
     code = lambda x: int(_CODE[x.encode()[-1]])
-    steps = {(0, 0): (0.0, "")}
+    steps, repeats = {(0, 0): (0.0, "")}, _repeats(word)
     for i, c in enumerate(word):
         after: dict[tuple[int, int], tuple[float, str]] = {}
         long_run = i >= 2 and c.isalpha() and word[i - 1] == word[i - 2] == c
-        for meant, cost in _readings(c, word[i - 1] if i else ""):
+        for meant, cost in _readings(c, repeats[i]):
             if long_run and meant:
                 continue
             for (a, b), (total, out) in steps.items():
