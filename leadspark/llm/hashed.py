@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,17 +101,17 @@ class Linear:
 
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
                 found = [model.features(t.as_buffer().to_pybytes()) for t in batch.column(column)]
-                return record(y=batch.column(target), o=batch.column(order), places=pa.array([x[0] for x in found], pa.list_(pa.int64())), logs=pa.array([x[1] for x in found], pa.list_(pa.float64())), dense=pa.array([x[2] for x in found], pa.list_(pa.float64())))
+                return record(y=batch.column(target), o=batch.column(order), places=pa.array([x[0] for x in found], pa.list_(pa.int32())), logs=pa.array([x[1].astype(np.float32) for x in found], pa.list_(pa.float32())), dense=pa.array([x[2].astype(np.float32) for x in found], pa.list_(pa.float32())))
 
             return each
 
         thin = docs.select(column, F.col(target).cast("double").alias(target), F.col(order).cast("long").alias(order))
-        rows = map_batches(thin, make, "y double, o long, places array<long>, logs array<double>, dense array<double>").toArrow().sort_by("o")
+        rows = map_batches(thin, make, "y double, o long, places array<int>, logs array<float>, dense array<float>").toArrow().sort_by("o")
         y = rows["y"].to_numpy()
         if not len(y):
             return
         n = len(self.weights) // 2
-        sizes = np.array([len(x) for x in rows["places"].to_pylist()], np.int64)
+        sizes = pc.list_value_length(rows["places"]).to_numpy()
         row = np.repeat(np.arange(len(y)), sizes)
         flat = lambda c: rows[c].combine_chunks().flatten().to_numpy()
         places, values = flat("places"), (flat("logs"), flat("dense"))
