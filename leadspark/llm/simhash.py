@@ -80,6 +80,8 @@ def _pairs(rows: DataFrame, keys: list[str], exact: Column, most: int) -> DataFr
 
 def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
     """Distinct pairs a < b of the distinct fingerprints `fp` that differ in at most `most` (up to three) bits."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = nodes.repartition(parts, "fp")  # few bytes, but 66 rows come of each
     rows = nodes.select("fp", F.explode(_halves(F.col("fp"))).alias("s")).select("fp", F.col("s.tag").alias("tag"), F.col("s.rest").alias("rest"), F.col("s.side").alias("side"))
     hot = materialise(rows.groupBy("tag", "rest").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("tag", "rest"), "simhash-hot")
     is_exact = F.col("a.tag").isin(0, 33)
