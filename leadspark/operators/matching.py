@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,10 +16,10 @@ RULES = ("HF-01", "HF-02", "HF-03", "HF-04", "HF-05", "HF-06", "HF-07", "HF-08")
 
 def category_relation(wanted: Column, offered: Column, parents: dict[str, str], adjacent: dict[str, str]) -> Column:
     """exact, parent (either way or siblings' parent offered), adjacent (same group) or none; NULL if either is unknown."""
-    table = lambda d: F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sorted(d.items())))
-    up, group = table(parents), table(adjacent)
-    parent = F.coalesce(F.try_element_at(up, wanted) == offered, F.lit(False)) | F.coalesce(F.try_element_at(up, offered) == wanted, F.lit(False))
-    near = F.coalesce(F.try_element_at(group, wanted) == F.try_element_at(group, offered), F.lit(False))
+    # CASE, not a map: it stays in generated code and stops at the first hit.
+    table = lambda d, c: F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in sorted(d.items())], F.lit(None).cast("string"))
+    parent = F.coalesce(table(parents, wanted) == offered, F.lit(False)) | F.coalesce(table(parents, offered) == wanted, F.lit(False))
+    near = F.coalesce(table(adjacent, wanted) == table(adjacent, offered), F.lit(False))
     return F.when(wanted.isNull() | offered.isNull(), None).when(wanted == offered, "exact").when(parent, "parent").when(near, "adjacent").otherwise("none")
 
 
@@ -44,10 +42,20 @@ def rule_outcomes(tolerance_pct: int = 0) -> dict[str, Column]:
 
 
 def with_outcomes(candidates: DataFrame) -> DataFrame:
-    """Adds outcomes, an array of (rule, outcome), and failed, the rules that fail, in order."""
+    """Adds fail_mask, in which bit k says that rule k fails: every rule is judged, none cuts the others short. A number
+    keeps the eight rules in one piece of generated code; lists of rules are made of it only where they are shown."""
     found = rule_outcomes()
-    df = candidates.withColumn("outcomes", F.array(*[F.struct(F.lit(r).alias("rule"), found[r].alias("outcome")) for r in RULES]))
-    return df.withColumn("failed", F.transform(F.filter("outcomes", lambda o: o["outcome"] == "fail"), lambda o: o["rule"]))
+    mask = sum((F.when(found[r] == "fail", 1 << k).otherwise(0) for k, r in enumerate(RULES)), F.lit(0))
+    return candidates.withColumn("fail_mask", mask)
+
+
+def n_failed() -> Column:
+    return F.bit_count("fail_mask")
+
+
+def failed() -> Column:
+    """The rules that fail, in order."""
+    return F.array_compact(F.array(*[F.when(F.col("fail_mask").bitwiseAND(F.lit(1 << k)) > 0, F.lit(r)) for k, r in enumerate(RULES)]))
 
 
 def _ladder(known: Column, *steps: tuple[Column, int], unknown: int, otherwise: int = 0) -> Column:
@@ -85,13 +93,15 @@ def with_scores(df: DataFrame) -> DataFrame:
 def top_matches(df: DataFrame, n: int = 10) -> DataFrame:
     """Passing candidates, ranked within their request; the window keeps n rows a request before it shuffles."""
     w = Window.partitionBy("rfq_id").orderBy(F.desc("base_score"), F.asc_nulls_last("seller_domain"), "seller_id")
-    return df.where("size(failed) = 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(n, 50))
+    return df.where("fail_mask = 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(n, 50))
 
 
 def no_match_diagnosis(df: DataFrame) -> DataFrame:
-    """For each rule: candidates it rejects, and those it alone rejects (what relaxing it would gain)."""
-    e = df.where("size(failed) > 0").select(F.explode("failed").alias("rule"), (F.size("failed") == 1).alias("alone"))
-    return e.groupBy("rule").agg(F.count("*").alias("rejected"), F.count_if("alone").alias("sole_blocker"))
+    """For each rule that rejects any: candidates it rejects, and those it alone rejects (what relaxing it would gain).
+    Counted by pattern first, of which there are at most 256, so no row is exploded."""
+    patterns = df.where("fail_mask > 0").groupBy("fail_mask").agg(F.count("*").alias("n"))
+    e = patterns.select(F.explode(failed()).alias("rule"), "n", (n_failed() == 1).alias("alone"))
+    return e.groupBy("rule").agg(F.sum("n").alias("rejected"), F.sum(F.when(F.col("alone"), F.col("n")).otherwise(0)).alias("sole_blocker"))
 
 
 def rerank_guard(rows: DataFrame, max_delta: int = 5) -> DataFrame:

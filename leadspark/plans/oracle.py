@@ -82,9 +82,9 @@ grouped AS (SELECT * EXCLUDE (c0), CASE WHEN domain IS NULL THEN record_id ELSE
 
 _RUN = """SELECT id, score, CASE WHEN len(rules) = 0 THEN 'returned' ELSE 'excluded' END AS state, rules, CASE WHEN id % 8 <> {s} % 8 THEN id % 8 < 4 END AS flag FROM
   (SELECT id, score, list_filter([CASE WHEN score < 40 THEN 'HF-01' END, CASE WHEN (score + {s}) % 3 = 0 THEN 'HF-03' END], lambda x: x IS NOT NULL) AS rules FROM
-  (SELECT c_custkey AS id, CAST((c_custkey * 7 + {s} * (c_custkey % 5)) % 101 AS INT) AS score FROM customer WHERE c_custkey % 31 <> {s} % 31))"""
+  (SELECT c_custkey AS id, CAST((c_custkey * 7 + {s} * (c_custkey % 5)) % 101 AS INT) AS score FROM customer WHERE {where}))"""
 RUNS = f"""
-b AS ({_RUN.format(s=1)}), a AS ({_RUN.format(s=2)}),
+b AS ({_RUN.format(s=1, where='c_acctbal >= 0')}), a AS ({_RUN.format(s=2, where="c_mktsegment <> 'MACHINERY'")}),
 diff AS (SELECT coalesce(b.id, a.id) AS id, b.state AS state_before, a.state AS state_after, b.score AS score_before, a.score AS score_after, b.rules AS rb, a.rules AS ra, b.flag AS fb, a.flag AS fa, b.id IS NOT NULL AND a.id IS NOT NULL AS both_runs,
   CASE WHEN b.id IS NULL THEN 'new' WHEN a.id IS NULL THEN 'gone' WHEN b.state = 'returned' AND a.state = 'excluded' THEN 'newly_excluded' WHEN b.state = 'excluded' AND a.state = 'returned' THEN 'newly_returned'
   WHEN b.state = 'excluded' AND b.rules <> a.rules THEN 'exclusion_changed' WHEN b.state = 'excluded' THEN 'excluded_both' WHEN b.score <> a.score THEN 'changed' ELSE 'unchanged' END AS change FROM b FULL JOIN a ON a.id = b.id)"""

@@ -110,9 +110,9 @@ def parties(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run(spark: SparkSession, sf: str, shift: int) -> DataFrame:
-    """A scored run over customers; another shift is another run, with some ids gone and some new."""
+    """A scored run over customers; another shift is another run, over customers of another kind, so ids are gone and new."""
     key = F.col("c_custkey")
     score = ((key * 7 + shift * (key % 5)) % 101).cast("int")
     rules = F.array_compact(F.array(F.when(score < 40, "HF-01"), F.when((score + shift) % 3 == 0, "HF-03")))
-    there = (key % 31 != shift % 31)
+    there = F.col("c_acctbal") >= 0 if shift == 1 else F.col("c_mktsegment") != "MACHINERY"
     return read(spark, sf, "customer").where(there).select(key.alias("id"), score.alias("score"), F.when(F.size(rules) == 0, "returned").otherwise("excluded").alias("state"), rules.alias("rules"), F.when(key % 8 != shift % 8, key % 8 < 4).alias("flag"))
