@@ -91,7 +91,7 @@ class Linear:
     def probability(self, text: bytes) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -40, 40))))
 
-    def fit(self, docs: DataFrame, column: str, target: str, order: str, penalty: float = 1.0, rounds: int = 300) -> None:
+    def fit(self, docs: DataFrame, column: str, target: str, order: str, penalty: float = 1.0, rounds: int = 150) -> None:
         """docs: a sample of bounded size; only the selected features of each text reach the driver, in the order of
         the column `order`, so that the same rows give the same weights."""
         shared = docs.sparkSession.sparkContext.broadcast(self)
