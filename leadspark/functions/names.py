@@ -6,10 +6,12 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadspark.cluster import ship
+
 #: Legal forms, stripped where they may stand.
 LEGAL_BOTH = ("co", "company", "corp", "corporation", "inc", "incorporated", "limited", "llc", "ltd", "plc", "gmbh", "ag", "kg", "sa", "sas", "sarl", "srl", "spa", "bv", "nv", "ab", "oy", "aps", "pte", "pty", "sdn", "bhd", "fze", "fzco", "fzc", "llp", "lp", "kk", "jsc", "ооо", "주식회사", "유한회사", "株式会社", "有限会社")
 LEGAL_TRAILING = ("group", "holding", "holdings", "international", "trading", "general trading")
@@ -35,9 +37,14 @@ def fold_name(name: str | None) -> str | None:
     return " ".join(words) or None
 
 
-@F.pandas_udf(T.StringType())
-def normalize_name(names: pd.Series) -> pd.Series:
-    return names.map(fold_name, na_action="ignore")
+def normalize_name(name: Column) -> Column:
+    """fold_name in Arrow batches."""
+    ship(SparkSession.getActiveSession())
+
+    def each(names: pd.Series) -> pd.Series:
+        return names.map(fold_name, na_action="ignore")
+
+    return F.pandas_udf(each, T.StringType())(name)
 
 
 def match_key(normalized: Column) -> Column:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadspark.cluster import ship
 from leadspark.functions.numeric import clamp, half_up_ratio
 from leadspark.functions.tristate import outcome
 
@@ -118,4 +119,5 @@ def rerank_guard(rows: DataFrame, max_delta: int = 5) -> DataFrame:
             done.append((base, final))
         return pdf.assign(final=[f for _, f in done])
 
+    ship(rows.sparkSession)
     return rows.select("run_id", "id", "base", "delta").groupBy("run_id").applyInPandas(fold, "run_id long, id long, base int, delta int, final int")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadspark.cluster import ship
+
 
 def domain_components(records: DataFrame) -> DataFrame:
     """record_id, component: the smallest record of the same canonical domain, else the record itself."""
@@ -68,6 +70,7 @@ def constrained_groups(records: DataFrame) -> DataFrame:
                 out.append((r.component, r.component))
         return pd.DataFrame(out, columns=["component", "root"])
 
+    ship(records.sparkSession)
     named = heads.where("name_key is not null").groupBy("name_key").applyInPandas(fold, "component long, root long")
     roots = named.union(heads.where("name_key is null").select("component", F.col("component").alias("root")))
     return base.select("record_id", "component").join(roots, "component").select("record_id", F.col("root").alias("component"))
