@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadspark.cluster import ship
+
 #: Fixed value: the ASCII capitals, the only letters that normalisation lower-cases.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows in one Arrow batch handed to Python; texts can be long.
@@ -58,6 +60,7 @@ def map_batches(df: DataFrame, make: Callable[[], tuple[Callable, Callable] | Ca
         if (out := finish()) is not None and out.num_rows:
             yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
