@@ -27,8 +27,8 @@ from leadspark.llm.common import map_batches, materialise, record, texts_of
 
 #: Rows to fit the scorer on at most, n-gram width, selected n-grams, documents that must hold one.
 TRAIN_ROWS, WIDTH, SELECTED, LEAST = 8_000, 4, 2000, 4
-#: A document is rejected if its probability of being good is below this.
-ACCEPT = 0.5
+#: A document is rejected if its probability of being good is below this: in doubt it stays.
+ACCEPT = 0.2
 #: What share of documents is good before any vote is seen.
 PRIOR = 0.85
 #: White space, capitals, letters, and marks that prose hardly uses.
