@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark.functions import names, tristate
-from leadspark.operators import calibrate, matching, publish, resolve, scoring
+from leadspark.operators import buyer, calibrate, matching, publish, resolve, scoring
 from leadspark.operators import evidence as ev
 from leadspark.plans import oracle as O
 from leadspark.plans import projections as P
@@ -321,6 +321,30 @@ def invariant_weighted_sum(spark, sf):
     return q.select("owner_id", stored.alias("stored"), F.col("qualification_score").alias("recomputed")).where("abs(stored - recomputed) > 1")
 
 
+# Buyer scores
+
+REQUEST = buyer.Request(
+    country="NATION_1", region=["NATION_2", "NATION_3", "NATION_4"], adjacent=["NATION_5", "NATION_6"], categories=["skincare"], channels=["department_store"], core=["skincare", "makeup", "sunscreen"], near=["haircare", "supplements"],
+    parents={"sunscreen": "skincare"}, related=[("skincare", "makeup")], free_mail=["d0.example", "d1.example"], chains=["pharmacy", "department_store", "marketplace"],
+)
+
+
+@query(O.behind(O.BUYERS, "SELECT record_id, criterion, earned, unknown FROM bcrit"))
+def buyer_criteria(spark, sf):
+    return buyer.score(P.buyers(spark, sf), REQUEST).select("record_id", F.explode("criteria").alias("x")).select("record_id", "x.*")
+
+
+@query(O.behind(O.BUYERS, "SELECT * FROM bqual"))
+def buyer_scores(spark, sf):
+    return buyer.score(P.buyers(spark, sf), REQUEST).drop("criteria")
+
+
+@query(O.behind(O.EVIDENCE, "SELECT owner_id, array_to_string(list_sort(list(DISTINCT claim)), ';') AS claims, coalesce(array_to_string(list_sort(list(DISTINCT claim) FILTER (is_official)), ';'), '') AS official_claims, CAST(greatest(0, date_diff('day', max(source_date) FILTER (claim IN ('signup', 'view')), DATE '2024-02-15')) AS INT) AS sourcing_age, coalesce(bool_or(claim IN ('signup', 'view') AND source_date IS NULL AND observed_on <= DATE '2024-02-15'), false) AS standing_page FROM evidence GROUP BY 1"))
+def buyer_claim_facts(spark, sf):
+    j = lambda c: F.array_join(F.array_sort(c), ";").alias(c)
+    return buyer.claim_facts(P.evidence(spark, sf), ["signup", "view"], as_of()).select("owner_id", j("claims"), j("official_claims"), "sourcing_age", "standing_page")
+
+
 # Sites and entity resolution
 
 

@@ -92,3 +92,45 @@ diff AS (SELECT coalesce(b.id, a.id) AS id, b.state AS state_before, a.state AS
 
 def behind(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()}\n{select}"
+
+
+def _unpivot(table: str, criteria: dict[str, tuple[str, str, int]]) -> str:
+    """criteria: by name, the points earned (NULL: nothing fired), whether the inputs are unknown, and the most points."""
+    part = "SELECT record_id, '{k}' AS criterion, CAST(coalesce({p}, CASE WHEN {u} THEN ({m} * 60 + 100) // 200 ELSE 0 END) AS INT) AS earned, ({p}) IS NULL AND ({u}) AS unknown FROM {t}"
+    return "\n UNION ALL ".join(part.format(k=k, p=p, u=u, m=m, t=table) for k, (p, u, m) in criteria.items())
+
+
+_BUYER_CRITERIA = {
+    "B-KF1": ("CASE WHEN len(brands) >= 3 THEN 55 WHEN len(brands) >= 1 THEN 48 WHEN k % 12 = 0 THEN 45 WHEN korean THEN 40 WHEN NOT korean THEN 0 END", "korean IS NULL AND brands IS NULL AND k % 12 <> 0", 55),
+    "B-KF2": ("CASE WHEN k % 29 = 0 THEN 30 WHEN k % 13 = 0 THEN 22 WHEN korean AND list_has_any(categories, ['skincare', 'makeup', 'sunscreen']) THEN 20 END", "categories IS NULL AND korean IS NULL", 30),
+    "B-KF3": ("CASE WHEN list_has_any(categories, ['skincare', 'makeup', 'sunscreen']) THEN 15 WHEN list_has_any(categories, ['haircare', 'supplements']) THEN 8 END", "categories IS NULL", 15),
+    "B-CR1": ("CASE company_type WHEN 'distributor' THEN 60 WHEN 'importer' THEN 60 WHEN 'wholesaler' THEN 57 WHEN 'marketplace' THEN 36 WHEN 'brand' THEN 27 WHEN 'retailer' THEN 24 WHEN 'other' THEN 15 END", "company_type IS NULL", 60),
+    "B-CR2": ("CASE WHEN k % 11 = 0 OR wholesale THEN 25 WHEN k % 14 = 0 THEN 20 WHEN NOT wholesale THEN 0 END", "wholesale IS NULL", 25),
+    "B-CR3": ("CASE WHEN k % 15 = 0 THEN 15 WHEN coalesce(channels[1] = 'distributor_network', false) THEN 10 END", "k % 6 = 0 AND channels IS NULL", 15),
+    "B-SI1": ("CASE k % 4 WHEN 0 THEN 45 WHEN 1 THEN 29 WHEN 2 THEN 12 END", "k % 4 = 3", 45),
+    "B-SI2": ("CASE WHEN k % 6 <> 0 AND (k % 2 = 0 OR k % 5 = 0 OR k % 3 = 1) THEN least(45, 45 * (k % 2 = 0)::INT + 32 * (k % 5 = 0)::INT + 10 * (k % 3 = 1)::INT) END", "k % 6 = 0", 45),
+    "B-SI3": ("CASE WHEN k % 8 <> 0 THEN CASE WHEN k % 500 <= 90 THEN 10 WHEN k % 500 <= 365 THEN 6 ELSE 2 END WHEN k % 16 = 0 THEN 5 END", "k % 8 = 0", 10),
+    "B-MR1": ("CASE WHEN country = 'NATION_1' THEN 55 WHEN country IN ('NATION_2', 'NATION_3', 'NATION_4') THEN 35 WHEN country IN ('NATION_5', 'NATION_6') THEN 20 END", "country IS NULL", 55),
+    "B-MR2": ("CASE WHEN list_contains(categories, 'skincare') THEN 35 WHEN list_contains(categories, 'sunscreen') THEN 25 WHEN list_contains(categories, 'makeup') THEN 15 END", "categories IS NULL", 35),
+    "B-MR3": ("CASE channels[1] WHEN 'department_store' THEN 10 WHEN 'retail_store' THEN 6 END", "channels IS NULL", 10),
+    "B-RE1": ("CASE WHEN form THEN 70 WHEN mail THEN 65 WHEN phone THEN 25 WHEN fax THEN 20 END", "k % 10 = 0", 70),
+    "B-RE2": ("CASE form::INT + mail::INT + phone::INT + fax::INT WHEN 0 THEN NULL WHEN 1 THEN 5 WHEN 2 THEN 10 ELSE 15 END", "k % 10 = 0", 15),
+    "B-RE3": ("CASE WHEN mail THEN CASE WHEN k % 4 = 3 OR k % 4 = k % 3 THEN 15 WHEN k % 4 = 2 THEN 10 ELSE 6 END END", "k % 10 = 0", 15),
+}
+BUYERS = f"""{EVIDENCE},
+buyers AS (SELECT c_custkey AS record_id, c_custkey AS k, n_name AS country, quality AS evidence_quality, list_value('distributor', 'importer', 'wholesaler', 'marketplace', 'brand', 'retailer', 'other', NULL)[c_custkey % 8 + 1] AS company_type,
+  CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 3 = 1 END AS korean, CASE WHEN c_custkey % 4 <> 0 THEN ['a', 'b', 'c', 'd'][:c_custkey % 5] END AS brands, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 5 < 3 END AS wholesale,
+  CASE WHEN c_custkey % 7 <> 0 THEN list_filter(string_split(list_value('', 'skincare', 'makeup,haircare', 'supplements', 'machinery', '', 'sunscreen')[c_custkey % 7 + 1], ','), lambda x: x <> '') END AS categories,
+  CASE WHEN c_custkey % 9 <> 0 THEN [list_value('retail_store', 'department_store', 'ecommerce', 'marketplace', 'salon_spa', 'distributor_network')[c_custkey % 6 + 1]] END AS channels,
+  c_custkey % 10 > 1 AND c_custkey % 7 = 2 AS form, c_custkey % 10 > 1 AND c_custkey % 3 = 0 AS mail, c_custkey % 10 > 1 AND c_custkey % 4 <> 0 AS phone, c_custkey % 10 > 1 AND c_custkey % 5 = 3 AS fax
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN quality ON owner_id = c_custkey),
+bcrit AS ({_unpivot('buyers', _BUYER_CRITERIA)}),
+bsum AS (SELECT record_id, {', '.join(f"(200 * sum(earned) FILTER (criterion LIKE 'B-{p}%') + {m}) // {2 * m} AS {p}" for p, m in (('KF', 100), ('CR', 100), ('SI', 100), ('MR', 100), ('RE', 100)))} FROM bcrit GROUP BY 1),
+bdim AS (SELECT record_id, greatest(0, least(100, KF - CASE WHEN categories = ['machinery'] THEN 60 ELSE 0 END - CASE WHEN korean IS NULL THEN 20 WHEN NOT korean THEN 25 ELSE 0 END))::INT AS kbeauty_korea_fit,
+  greatest(0, least(100, CR - CASE WHEN NOT wholesale THEN 15 ELSE 0 END + CASE WHEN company_type = 'retailer' THEN CASE WHEN NOT wholesale THEN -25 WHEN channels[1] IN ('department_store', 'marketplace') THEN 20 ELSE 0 END ELSE 0 END))::INT AS b2b_commercial_role,
+  greatest(0, least(100, SI - CASE WHEN k % 31 = 0 THEN 40 ELSE 0 END - CASE WHEN k % 6 = 2 THEN 10 ELSE 0 END))::INT AS sourcing_intent,
+  greatest(0, least(100, MR - CASE WHEN country NOT IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_4', 'NATION_5', 'NATION_6') THEN 40 ELSE 0 END
+    - CASE WHEN len(categories) > 0 AND NOT list_has_any(categories, ['skincare', 'sunscreen', 'makeup']) THEN 20 ELSE 0 END - CASE WHEN k % 23 = 0 THEN 10 ELSE 0 END))::INT AS market_relevance,
+  greatest(0, least(100, RE - CASE WHEN k % 19 = 0 THEN 20 ELSE 0 END - CASE WHEN k % 10 <> 0 AND NOT (form OR mail OR phone OR fax) THEN 15 ELSE 0 END))::INT AS reachability, coalesce(evidence_quality, 0)::INT AS evidence_quality
+  FROM bsum JOIN buyers USING (record_id)),
+bqual AS (SELECT *, CAST((2 * (20 * kbeauty_korea_fit + 20 * b2b_commercial_role + 25 * sourcing_intent + 15 * market_relevance + 10 * reachability + 10 * evidence_quality) + 100) // 200 AS INT) AS qualification_score FROM bdim)"""

@@ -116,3 +116,32 @@ def run(spark: SparkSession, sf: str, shift: int) -> DataFrame:
     rules = F.array_compact(F.array(F.when(score < 40, "HF-01"), F.when((score + shift) % 3 == 0, "HF-03")))
     there = F.col("c_acctbal") >= 0 if shift == 1 else F.col("c_mktsegment") != "MACHINERY"
     return read(spark, sf, "customer").where(there).select(key.alias("id"), score.alias("score"), F.when(F.size(rules) == 0, "returned").otherwise("excluded").alias("state"), rules.alias("rules"), F.when(key % 8 != shift % 8, key % 8 < 4).alias("flag"))
+
+
+def buyers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as buyers: each field has unknown, negative and positive values, by the key's remainders."""
+    from leadspark.operators.evidence import quality
+
+    c, n = read(spark, sf, "customer"), read(spark, sf, "nation")
+    q = quality(evidence(spark, sf), MATERIAL, F.lit(AS_OF).cast("date")).select(F.col("owner_id").alias("_owner"), F.col("quality").alias("evidence_quality"))
+    c = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left").join(q, c.c_custkey == F.col("_owner"), "left")  # 25 nations
+    k = F.col("c_custkey")
+    pick = lambda values, m: F.element_at(F.array(*map(F.lit, values)), (k % m + 1).cast("int"))
+    some = lambda *pairs: F.array_compact(F.array(*[F.when(cond, F.lit(v)) for v, cond in pairs]))
+    host = F.concat(F.lit("d"), (k % 4).cast("string"), F.lit(".example"))
+    contact = lambda kind, value, cond: F.when(cond, F.struct(F.lit(kind).alias("type"), value.alias("value")))
+    mail = F.concat(F.lit("info@"), host)
+    contacts = F.array_compact(F.array(
+        contact("partnership_form", F.concat(F.lit("https://"), host, F.lit("/partner/")), (k % 10 > 1) & (k % 7 == 2)), contact("corporate_email", mail, (k % 10 > 1) & (k % 3 == 0)),
+        contact("corporate_email", F.concat(F.lit("mailto:"), F.upper(mail)), (k % 10 > 1) & (k % 6 == 0)), contact("phone", F.lit("+1 (202) 555"), (k % 10 > 1) & (k % 4 != 0)), contact("fax", F.lit("n/a"), (k % 10 > 1) & (k % 5 == 3)),
+    ))
+    return c.select(
+        k.alias("record_id"), "evidence_quality", F.col("n_name").alias("country"), pick(["distributor", "importer", "wholesaler", "marketplace", "brand", "retailer", "other", None], 8).alias("company_type"),
+        F.when(k % 3 != 0, k % 3 == 1).alias("korean_signal"), F.when(k % 4 != 0, F.slice(F.array(*map(F.lit, "abcd")), 1, (k % 5).cast("int"))).alias("brands"),
+        F.when(k % 7 != 0, F.split(pick(["", "skincare", "makeup,haircare", "supplements", "machinery", "", "sunscreen"], 7), ",")).alias("raw"), F.when(k % 5 != 0, k % 5 < 3).alias("wholesale"),
+        (k % 11 == 0).alias("has_moq"), pick(["high", "medium", "low", None], 4).alias("intent"), F.when(k % 6 != 0, some(("rfq_posted", k % 2 == 0), ("open_call", k % 5 == 0), ("trade_show", k % 3 == 1))).alias("sourcing_signals"),
+        F.when(k % 9 != 0, F.array(pick(["retail_store", "department_store", "ecommerce", "marketplace", "salon_spa", "distributor_network"], 6))).alias("channels"), F.when(k % 10 != 0, contacts).alias("contacts"),
+        F.concat(F.lit("d"), (k % 3).cast("string"), F.lit(".example")).alias("canonical_domain"), F.array(F.lit("d3.example")).alias("alias_domains"), F.when(k % 6 > 1, k % 6 > 2).alias("partnership"), (k % 19 == 0).alias("stale"), (k % 23 == 0).alias("drift"),
+        some(("kbeauty_specialist_positioning", k % 29 == 0), ("korean_category_page", k % 13 == 0), ("b2b_pricing_or_trade_account", k % 14 == 0), ("procurement_or_buying_page", k % 15 == 0), ("sourcing_closed_statement", k % 31 == 0)).alias("claims"),
+        some(("korea_sourcing_statement", k % 12 == 0)).alias("official_claims"), F.when(k % 8 != 0, (k % 500).cast("int")).alias("sourcing_age"), (k % 16 == 0).alias("standing_page"),
+    ).withColumn("categories", F.filter("raw", lambda x: x != "")).drop("raw")
