@@ -24,32 +24,59 @@ def category_relation(wanted: Column, offered: Column, parents: dict[str, str],
     return F.when(wanted.isNull() | offered.isNull(), None).when(wanted == offered, "exact").when(parent, "parent").when(near, "adjacent").otherwise("none")
 
 
-def rule_outcomes(tolerance_pct: int = 0) -> dict[str, Column]:
-    """The eight hard filters on a candidate row, each na, pass, fail or skip. An unknown skips, a verified empty list counts."""
+def rule_conditions(tolerance_pct: int = 0) -> dict[str, tuple[Column, Column]]:
+    """The eight hard filters on a candidate row: whether each applies (never null), and whether it holds, null if unknown.
+    A verified empty list counts."""
     within = lambda value, ceiling: F.col(value) * 100 <= F.col(ceiling) * (100 + tolerance_pct)
     model = F.col("model")
     flag = F.when(model == "oem_odm", F.col("oem_odm")).when(model == "private_label", F.col("private_label")).when(model == "branded", F.col("brand_export"))
     certs = F.size(F.array_except("required_certs", "certs")) == 0
     return {
-        "HF-01": outcome(F.col("wanted_category").isNotNull(), F.when(F.col("relation").isNotNull(), F.col("relation").isin("exact", "parent"))),
-        "HF-02": outcome(model != "either", flag),
-        "HF-03": outcome(F.col("max_moq").isNotNull(), F.when(F.col("moq_unit") == F.col("rfq_unit"), within("moq", "max_moq"))),
-        "HF-04": outcome(F.size("required_certs") > 0, F.when(F.col("certs_verified"), certs)),
-        "HF-05": outcome(F.col("destination").isNotNull(), ~F.array_contains("excluded_markets", F.col("destination"))),
-        "HF-06": outcome(F.lit(True), F.coalesce(~F.col("operational_status").isin("closed", "unreachable"), F.lit(True))),
-        "HF-07": outcome(F.col("max_lead").isNotNull(), within("lead_days", "max_lead")),
-        "HF-08": outcome(F.size("excluded_countries") > 0, F.when(F.col("seller_country").isNotNull(), ~F.array_contains("excluded_countries", F.col("seller_country")))),
+        "HF-01": (F.col("wanted_category").isNotNull(), F.when(F.col("relation").isNotNull(), F.col("relation").isin("exact", "parent"))),
+        "HF-02": (model != "either", flag),
+        "HF-03": (F.col("max_moq").isNotNull(), F.when(F.col("moq_unit") == F.col("rfq_unit"), within("moq", "max_moq"))),
+        "HF-04": (F.size("required_certs") > 0, F.when(F.col("certs_verified"), certs)),
+        "HF-05": (F.col("destination").isNotNull(), ~F.array_contains("excluded_markets", F.col("destination"))),
+        "HF-06": (F.lit(True), F.coalesce(~F.col("operational_status").isin("closed", "unreachable"), F.lit(True))),
+        "HF-07": (F.col("max_lead").isNotNull(), within("lead_days", "max_lead")),
+        "HF-08": (F.size("excluded_countries") > 0, F.when(F.col("seller_country").isNotNull(), ~F.array_contains("excluded_countries", F.col("seller_country")))),
     }
 
 
+def rule_outcomes(tolerance_pct: int = 0) -> dict[str, Column]:
+    """Each hard filter's na, pass, fail or skip; an unknown skips."""
+    return {r: outcome(*c) for r, c in rule_conditions(tolerance_pct).items()}
+
+
 def with_outcomes(candidates: DataFrame) -> DataFrame:
     """Adds fail_mask, in which bit k says that rule k fails: every rule is judged, none cuts the others short. A number
-    keeps the eight rules in one piece of generated code; lists of rules are made of it only where they are shown."""
-    found = rule_outcomes()
-    mask = sum((F.when(found[r] == "fail", 1 << k).otherwise(0) for k, r in enumerate(RULES)), F.lit(0))
+    keeps the eight rules in one piece of generated code; lists of rules are made of it only where they are shown. Each
+    condition is read once, which keeps that code small enough for the JVM to compile."""
+    fails = rule_failures()
+    mask = sum((F.when(fails[r], 1 << k).otherwise(0) for k, r in enumerate(RULES)), F.lit(0))
     return candidates.withColumn("fail_mask", mask)
 
 
+def rule_failures() -> dict[str, Column]:
+    """Whether each rule fails; never null."""
+    return {r: applies & ~F.coalesce(holds, F.lit(True)) for r, (applies, holds) in rule_conditions().items()}
+
+
+def passing(candidates: DataFrame) -> DataFrame:
+    """The candidates that no rule rejects, with fail_mask 0. One filter a rule, so that a rule on one side of the join
+    is applied before it."""
+    for fails in rule_failures().values():
+        candidates = candidates.where(~fails)
+    return candidates.withColumn("fail_mask", F.lit(0))
+
+
+def rejected(df: DataFrame) -> DataFrame:
+    """The rows of with_outcomes that some rule rejects. A generator drops the others: a filter would be pushed down and
+    judge every candidate twice."""
+    kept = F.explode(F.when(F.col("fail_mask") > 0, F.array("fail_mask"))).alias("fail_mask")
+    return df.select(*[c for c in df.columns if c != "fail_mask"], kept)
+
+
 def n_failed() -> Column:
     return F.bit_count("fail_mask")
 
@@ -99,8 +126,9 @@ def top_matches(df: DataFrame, n: int = 10) -> DataFrame:
 
 def no_match_diagnosis(df: DataFrame) -> DataFrame:
     """For each rule that rejects any: candidates it rejects, and those it alone rejects (what relaxing it would gain).
-    Counted by pattern first, of which there are at most 256, so no row is exploded."""
-    patterns = df.where("fail_mask > 0").groupBy("fail_mask").agg(F.count("*").alias("n"))
+    Counted by pattern first, of which there are at most 256, so no row is exploded. The pattern without failures goes
+    with the explosion: a filter on it would be pushed down and judge every candidate twice."""
+    patterns = df.groupBy("fail_mask").agg(F.count("*").alias("n"))
     e = patterns.select(F.explode(failed()).alias("rule"), "n", (n_failed() == 1).alias("alone"))
     return e.groupBy("rule").agg(F.sum("n").alias("rejected"), F.sum(F.when(F.col("alone"), F.col("n")).otherwise(0)).alias("sole_blocker"))
 

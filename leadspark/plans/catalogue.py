@@ -165,7 +165,7 @@ def judged(spark, sf):
 
 @query(O.behind(O.CANDIDATES, "SELECT rfq_id, seller_id, array_to_string(failed, ';') AS failed FROM failing WHERE len(failed) > 0"))
 def hf_all_failures(spark, sf):
-    return judged(spark, sf).where("fail_mask > 0").select("rfq_id", "seller_id", F.array_join(matching.failed(), ";").alias("failed"))
+    return matching.rejected(judged(spark, sf)).select("rfq_id", "seller_id", F.array_join(matching.failed(), ";").alias("failed"))
 
 
 @query(O.behind(O.CANDIDATES, "SELECT rule, count(*) AS rejected, count(*) FILTER (alone) AS sole_blocker FROM (SELECT unnest(failed) AS rule, len(failed) = 1 AS alone FROM failing) GROUP BY 1"))
@@ -202,13 +202,13 @@ _TOP = "SELECT rfq_id, seller_id, base_score, CAST(rank AS INT) AS rank FROM (SE
 
 @query(O.behind(O.CANDIDATES, _TOP))
 def match_topn(spark, sf):
-    return matching.top_matches(matching.with_scores(judged(spark, sf))).select("rfq_id", "seller_id", "base_score", F.col("rank").cast("int").alias("rank"))
+    return matching.top_matches(matching.with_scores(matching.passing(P.candidates(spark, sf)))).select("rfq_id", "seller_id", "base_score", F.col("rank").cast("int").alias("rank"))
 
 
 @query(O.behind(O.CANDIDATES, "SELECT rfq_id, seller_id, component, contribution, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY rfq_id, seller_id ORDER BY contribution DESC, component) AS INT) AS place FROM (SELECT rfq_id, seller_id, unnest(['product_fit', 'model_fit', 'operation_fit']) AS component, CAST(unnest([product_fit * 30, model_fit * 20, operation_fit * 15]) AS INT) AS contribution FROM scored WHERE len(failed) = 0)) WHERE place <= 2"))
 def match_rationale(spark, sf):
     """The two components that contribute most to each passing match, without a shuffle: sorted within the row."""
-    df = matching.with_scores(judged(spark, sf)).where("fail_mask = 0")
+    df = matching.with_scores(matching.passing(P.candidates(spark, sf)))
     part = lambda c: F.struct((-F.col(c) * matching.WEIGHTS[c]).alias("minus"), F.lit(c).alias("component"))
     best = F.slice(F.array_sort(F.array(*map(part, ("product_fit", "model_fit", "operation_fit")))), 1, 2)
     return df.select("rfq_id", "seller_id", F.posexplode(best).alias("p", "x")).select("rfq_id", "seller_id", "x.component", (-F.col("x.minus")).cast("int").alias("contribution"), (F.col("p") + 1).cast("int").alias("place"))
