@@ -1,13 +1,14 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
-Patterns find e-mail addresses, IP addresses, payment cards and phone numbers: the protected entities. Terms written
-near an entity are counted over the corpus; a term discloses the entity if seeing it gives away at least DISCLOSURE of
-the entity's information content, pmi(term, entity) / ic(entity), with ic(e) = log2(N / df(e)) and
-pmi(t, e) = log2(N df(t, e) / (df(t) df(e))). df counts documents. Entities and disclosing terms are generalised to
-their kind or removed.
-
-Defined results: a null text is empty; a term needs MIN_TEXTS different texts beside the entity, so that chance and
-exact copies disclose nothing; repeated rows give one result row each; other columns of the documents are ignored.
+Patterns find e-mail addresses, IP addresses, payment cards and phone numbers: the protected entities. Terms of
+the texts that hold an entity are counted over the corpus; a term discloses the entity if seeing it gives away at least
+DISCLOSURE of the entity's information content, pmi(term, entity) / ic(entity), with ic(e) = log2(N / df(e)) and
+pmi(t, e) = log2(N df(t, e) / (df(t) df(e))). df counts documents, and texts are counted whole. Entities, and disclosing terms
+wherever they stand in any text, are generalised to their kind or removed.
+
+Defined results: a null text is empty; a term needs MIN_TEXTS different texts that hold the entity too, so that chance
+and exact copies disclose nothing (every word of one text only would give away an entity of that text only); letters
+inside an entity are no terms; repeated rows give one result row each; other columns of the documents are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,9 @@ PATTERNS = {
 }
 #: An address of parts of at most 255 each.
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}|)"
-#: Characters on each side of an entity in which terms are counted.
-CONTEXT = 200
 #: Share of an entity's information from which a term discloses it, and the different texts that must show both.
 DISCLOSURE, MIN_TEXTS = 0.8, 3
-#: Up to so many candidate terms are looked up in place; more are joined with the counts of all words.
+#: Up to so many terms are looked up in place; more are joined with the words of all texts.
 LITERAL_TERMS = 20_000
 #: Fixed value: letters, in any script.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]++"
@@ -94,65 +93,102 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _context(text: Column, n: Column, s: Column) -> Column:
-    """Terms on both sides of span s: array of (term, start, end); words cut off by the window's edge are left out."""
-    kind = "struct<term:string,start:int,end:int>"
+def _blanked(text: Column, base: Column) -> Column:
+    """The text with blanks in place of the spans, so that positions stay."""
+
+    def add(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    blanked = F.aggregate(base, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(base) > 0, blanked).otherwise(text)
 
-    def side(first: Column, until: Column) -> Column:
-        make = lambda m, start, end: F.struct(ascii_lower(m).alias("term"), (first + start).alias("start"), (first + end).alias("end"))
-        part = F.substring(text, first + 1, F.greatest(until - first, F.lit(0)))
-        whole = lambda t: ((t["start"] > first) | (first == 0) | (first == s["end"])) & ((t["end"] < until) | (until == n) | (until == s["start"]))
-        return F.filter(_matches(part, TERM, lambda m: F.lit(True), make, kind), whole)
 
-    return F.concat(side(F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"]), side(s["end"], F.least(s["end"] + CONTEXT, n)))
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), ascii_lower))
 
 
 def _scan(documents: DataFrame) -> DataFrame:
-    """One thin row a document, written to the shared folder: doc_id, hash, base spans, and what stands near them."""
+    """One row a document, written to the shared folder: doc_id, hash, base spans, and, where there are any, the
+    distinct entities and the distinct terms of the whole text outside them."""
     docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), base_spans(F.col("text")).alias("base"))
-    near = F.transform("base", lambda s: F.struct(
-        F.concat_ws(":", s["kind"].cast("string"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])).alias("entity"),
-        _context(F.col("text"), F.char_length("text"), s).alias("terms")))
-    return materialise(docs.select("doc_id", "hash", "base", F.when(F.size("base") > 0, near).alias("near")), "pii")
+    entity = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+    holds = F.size("base") > 0
+    entities = F.when(holds, F.array_distinct(F.transform("base", entity)))
+    words = F.when(holds, _words(_blanked(F.col("text"), F.col("base"))))
+    return materialise(docs.select("doc_id", "hash", "base", entities.alias("entities"), words.alias("words")), "pii")
+
+
+def _listed(terms: DataFrame) -> list[str] | None:
+    """The terms, if they are no more than LITERAL_TERMS."""
+    listed = [r[0] for r in terms.limit(LITERAL_TERMS + 1).collect()]  # bounded by the limit
+    return listed if len(listed) <= LITERAL_TERMS else None
+
+
+def _those(words: Column, listed: list[str] | None) -> Column:
+    if listed is None:
+        return words
+    return F.filter(words, lambda w: w.isin(listed)) if listed else F.array().cast("array<string>")
 
 
 def _document_frequency(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """term, df: the documents that hold each of the terms."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(TERM), F.lit(0)), ascii_lower))
-    listed = [r[0] for r in terms.limit(LITERAL_TERMS + 1).collect()]  # bounded by the limit
-    if len(listed) <= LITERAL_TERMS:
-        found = F.filter(found, lambda w: w.isin(listed)) if listed else F.array().cast("array<string>")
+    listed = _listed(terms)
+    found = _those(_words(F.coalesce(F.col("text"), F.lit(""))), listed)
     counts = documents.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return counts.join(terms, "term", "left_semi") if len(listed) > LITERAL_TERMS else counts
+    return counts.join(terms, "term", "left_semi") if listed is None else counts
 
 
 def disclosures(documents: DataFrame, scan: DataFrame) -> DataFrame:
-    """Pairs (entity, term) in which the term gives the entity away, with their share of its information."""
-    near = scan.where("near is not null").select("doc_id", "hash", F.explode("near").alias("x")).select("doc_id", "hash", "x.entity", F.col("x.terms.term").alias("terms"))
-    seen = near.groupBy("doc_id", "hash", "entity").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
-    entities = seen.groupBy("entity").agg(F.count("*").alias("df_entity"), F.count_distinct("hash").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    pairs = seen.join(entities.select("entity", "df_entity"), "entity").select("entity", "df_entity", "hash", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("hash").alias("texts"), F.first("df_entity").alias("df_entity")).where(F.col("texts") >= MIN_TEXTS)
-    pairs = materialise(pairs, "pii-pairs")
+    """Pairs (entity, term) in which the term gives the entity away, with their share of its information.
+
+    Equal texts are counted once, with their number. A pair whose term stands in too many of the texts with entities
+    can't reach DISCLOSURE, whatever its df over all texts, which is no smaller: such pairs go before that df is counted."""
     total = scan.count()
-    df = _document_frequency(documents, pairs.select("term").distinct())
+    texts = scan.where("entities is not null").groupBy("hash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    texts = materialise(texts, "pii-texts")
+    each = texts.select("hash", "n", F.explode("entities").alias("entity"))
+    known = each.groupBy("entity").agg(F.sum("n").alias("df_entity"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS).where(F.col("df_entity") < total).drop("texts")
+    held = each.join(known, "entity").groupBy("hash").agg(F.collect_list(F.struct("entity", "df_entity")).alias("known"))
+    texts = texts.drop("entities").join(held, "hash")
+    pairs = texts.select("n", "words", F.explode("known").alias("e")).select("n", "e.*", F.explode("words").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"), F.first("df_entity").alias("df_entity")).where(F.col("texts") >= MIN_TEXTS)
+    least = texts.select("n", F.explode("words").alias("term")).groupBy("term").agg(F.sum("n").alias("least_df"))
     ic = F.log2(F.lit(float(total)) / F.col("df_entity"))
-    pmi = F.log2(F.lit(float(total)) * F.col("both") / (F.col("df") * F.col("df_entity")))
-    return pairs.join(df, "term").where(ic > 0).select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= DISCLOSURE)
+    share = lambda df: F.log2(F.lit(float(total)) * F.col("both") / (F.col(df) * F.col("df_entity"))) / ic
+    pairs = materialise(pairs.join(least, "term").where(share("least_df") >= DISCLOSURE - 1e-9), "pii-pairs")
+    df = _document_frequency(documents, pairs.select("term").distinct())
+    return pairs.join(df, "term").select("entity", "term", share("df").alias("share")).where(F.col("share") >= DISCLOSURE)
+
+
+def _occurrences(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """hash, terms: for each text that holds any of the terms outside personal data, all their (start, end), sorted."""
+    listed = _listed(terms)
+    docs = documents.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    found = _those(_words(F.col("text")), listed)
+    if listed is not None:
+        docs = docs.withColumn("told", found).where(F.size("told") > 0).dropDuplicates(["hash"])
+    else:
+        told = docs.select("hash", F.explode(found).alias("term")).join(terms, "term", "left_semi").groupBy("hash").agg(F.collect_set("term").alias("told"))
+        docs = docs.dropDuplicates(["hash"]).join(told, "hash")
+    make = lambda m, start, end: F.struct(start.alias("start"), end.alias("end"))
+    is_told = lambda m: F.array_contains("told", ascii_lower(m))
+    spans = _matches(F.col("blanked"), TERM, is_told, make, "struct<start:int,end:int>")
+    return docs.select("hash", "told", _blanked(F.col("text"), base_spans(F.col("text"))).alias("blanked")).select("hash", spans.alias("terms")).where(F.size("terms") > 0)
 
 
 def find(documents: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, hash of the text, base (spans of personal data), terms (spans of
     disclosing terms, as (start, end), none of them inside personal data)."""
     scan = _scan(documents)
-    told = disclosures(documents, scan)
-    near = scan.where("near is not null").select("doc_id", "hash", F.explode("near").alias("x")).select("doc_id", "hash", "x.entity", F.explode("x.terms").alias("t"))
-    near = near.select("doc_id", "hash", "entity", "t.*").join(told.select("entity", "term"), ["entity", "term"], "left_semi")
-    terms = near.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    both = scan.drop("near").join(terms, scan["doc_id"].eqNullSafe(terms["_id"]) & (scan["hash"] == terms["_hash"]), "left")
-    outside = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return both.select("doc_id", "hash", "base", F.coalesce(outside, F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
+    told = materialise(disclosures(documents, scan).select("term").distinct(), "pii-told")
+    terms = _occurrences(documents, told)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return scan.select("doc_id", "hash", "base").join(terms, "hash", "left").select("doc_id", "hash", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def _shown(kind: Column, start: Column, end: Column) -> Column:

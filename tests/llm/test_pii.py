@@ -74,3 +74,15 @@ def test_terms_without_the_literal_set(spark, make_docs, monkeypatch):
 
 def test_empty(spark, make_docs):
     assert P.report(make_docs([])).count() == 0
+
+
+def test_disclosing_terms_stand_anywhere(spark, make_docs):
+    """Far from the address, twice in a text, and in texts that don't hold the address."""
+    far = " the plain words go on" * 30
+    texts = [(k, f"number {k}: zed@x.org writes{far}, says Zorblax") for k in range(5)]
+    texts += [(10 + k, f"the mail of user{k}@y.org number {k} writes and says: the plain words go on") for k in range(40)]
+    docs = make_docs([*texts, (60, f"zorblax{far} and ZORBLAX again")])
+    found = {r.doc_id: r for r in P.report(docs).collect()}
+    assert [found[k].n_term for k in range(5)] == [1] * 5 and all(found[10 + k].n_term == 0 for k in range(40))
+    assert found[60].n_term == 2 and found[60].spans.startswith("term:0:7,term:")
+    assert {r.doc_id: r.text for r in P.sanitise(docs).collect()}[60] == f"[term]{far} and [term] again"
