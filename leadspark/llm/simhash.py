@@ -42,18 +42,23 @@ def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
 
 
+def _text_hash() -> Column:
+    """Of the text; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def fingerprints(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed number, for each row."""
+    """doc_id, fp, the fingerprint as a signed number, and h, the text's hash, for each row."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             fps = np.fromiter((fingerprint(words_of(t), size) for t in texts_of(batch)), np.uint64, batch.num_rows)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("h")], ["doc_id", "fp", "h"])
 
         return each
 
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    return map_batches(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"), _text_hash().alias("h"))
+    return map_batches(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, h long")
 
 
 def _signatures(value: Column, bits: int, first_tag: int) -> Column:
@@ -127,14 +132,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def cluster(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
-    """doc_id, fp and component_id for each row of documents."""
+    """doc_id, fp, component_id, h and first_h for each row of documents: the hashes of its text and of the least text
+    that has the component's id."""
     docs = materialise(fingerprints(documents, size), "simhash-docs")
-    nodes = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    nodes = materialise(docs.groupBy("fp").agg(first.alias("least")), "simhash-nodes")
     roots = components(links(nodes, most))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.join(ids, "root").select("fp", "component_id"), "simhash-named")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    named = materialise(rooted.join(ids, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("first_h")), "simhash-named")
+    return docs.join(named, "fp").select("doc_id", "fp", "component_id", "h", "first_h")
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -142,11 +149,16 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """documents with one row of each component, that of the smallest doc_id; rows without doc_id stay only if no
-    row of their component has one. All columns stay."""
+    """documents with one row of each component, that of the smallest doc_id (rows without one come last) and of its
+    texts the one with the least hash. Id and text together tell the component, so a null id, or an id that has several
+    texts, is judged text by text. All columns stay."""
     found = materialise(cluster(documents), "simhash-found")
-    gone = materialise(found.where("not (doc_id <=> component_id)").select("doc_id").distinct(), "simhash-gone")
-    twice = found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1")
-    gone = gone.select(F.col("doc_id").alias("_id"))
-    kept = documents.join(gone, documents["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))
+    gone = materialise(found.where(~first).select("doc_id", "h").distinct(), "simhash-gone")
+    twice = found.where(first).groupBy("doc_id", "h").count().where("count > 1")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    docs = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("_doc_id"), _text_hash().alias("_text_hash"))
+    kept = docs.join(gone, docs["_doc_id"].eqNullSafe(gone["_id"]) & (docs["_text_hash"] == gone["_h"]), "left_anti")
+    kept = kept if twice.isEmpty() else kept.dropDuplicates(["_doc_id", "_text_hash"])
+    return kept.select("row.*")

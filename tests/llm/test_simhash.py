@@ -75,3 +75,13 @@ def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 101), (101, 105), (105, 103)]
     got = dict(map(tuple, H.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {k: 0 for k in range(61)} | {k: 100 for k in (100, 101, 103, 105)}
+
+
+def test_deduplicate_keeps_one_row_of_each_component(spark, make_docs):
+    """Null ids beside others and alone, one id with several texts, repeated rows: no component is lost, none stays twice."""
+    texts = ["alpha beta gamma delta", "some other words entirely", "a third text is here", "the fourth one of them", "fifth of all the texts"]
+    docs = [(None, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (3, texts[4]), (2, None), (2, "")]
+    docs += [(9, "one id with two texts"), (9, "the second text of nine")]
+    kept = sorted(((r.doc_id, r.text or "") for r in H.deduplicate(make_docs(docs)).collect()), key=str)
+    want = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (3, texts[4]), (2, ""), (9, "one id with two texts"), (9, "the second text of nine")]
+    assert kept == sorted(want, key=str)
