@@ -50,10 +50,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     s = sizes.withColumn("mix_weight", F.element_at(weights, (rank % len(WEIGHTS)).cast("int") + 1)).withColumn("cap", F.col("mix_source_size") * F.lit(MOST))
     order = Window.orderBy(F.col("cap") / F.col("mix_weight"), F.col("mix_source").asc_nulls_last())
     before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    s = s.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("open", F.sum("mix_weight").over(every) - F.coalesce(F.sum("mix_weight").over(before), F.lit(0.0)))
+    s = s.withColumn("capped", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("open", F.sum("mix_weight").over(every) - F.coalesce(F.sum("mix_weight").over(before), F.lit(0.0))).withColumn("place", F.row_number().over(order))
     s = s.withColumn("level", (F.sum("mix_source_size").over(every) * F.lit(TOTAL) - F.col("capped")) / F.col("open"))
-    # The level at the first source, in this order, whose cap it doesn't reach; every later one is below its cap too.
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("mix_weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("mix_weight"), "level"))).over(every)["level"])
+    # The level at the first source, in this order, whose cap it doesn't reach; every later one is below its cap too,
+    # and of tied sources the later counts the earlier as capped: the place decides, not the level.
+    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("mix_weight") <= F.col("cap"), F.struct("place", "level"))).over(every)["level"])
     return s.select("mix_source", "mix_source_size", "mix_weight", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("mix_weight"), F.col("cap"))).alias("mix_target"))
 
 

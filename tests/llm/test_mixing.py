@@ -59,3 +59,11 @@ def test_edges(spark, make_docs):
 def test_one_source_is_capped_at_its_share(spark, make_docs):
     rows = M.report(make_docs([(k, "w " * (k + 1)) for k in range(50)], ["s"] * 50)).collect()
     assert {r.target for r in rows} == {1.5 * sum(range(1, 51))} and abs(sum(r.taken for r in rows) - rows[0].target) <= 50
+
+
+def test_tied_sources(spark):
+    """Ties of size over weight: the water-filling is the same, whichever of the tied comes first."""
+    for sizes in ({"a": 300, "b": 100}, {f"s{k}": 10 for k in range(7)}, {"a": 30, "b": 10, "c": 20, None: 900}, {"a": 3, "b": 1, "c": 2, "d": 0}, {"a": 0, "b": 0}):
+        rows = M.targets(spark.createDataFrame(list(sizes.items()), "mix_source string, mix_source_size long")).collect()
+        want = targets(sizes)
+        assert len(rows) == len(sizes) and all(abs(r.mix_target - want[r.mix_source]) < 1e-9 for r in rows), (sizes, rows)
