@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -23,22 +26,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder all executors share: the cluster's spark.checkpoint.dir. Where that is unset, a temporary one of our own on
+    a local master; on any other, executors would each write to a disk of their own, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='leadspark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The tables
+    of an application stand in one folder, which goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    top = f"{scratch_dir(spark)}/leadspark-{spark.sparkContext.applicationId}"
+    if top not in _TO_DELETE:
+        _TO_DELETE.add(top)
+        atexit.register(_delete, spark, top)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_TO_DELETE: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete an application's scratch tables, if its context still runs; what can't be deleted then stays."""
+    if spark.sparkContext._jsc is None:
+        return
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. lower() does the same on pure ASCII, and is much faster there."""
     ascii_only = F.octet_length(text) == F.char_length(text)

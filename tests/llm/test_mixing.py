@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from leadspark.llm import mixing as M
 from leadspark.llm.common import table
 from tests.llm.conftest import EDGE
@@ -19,6 +21,17 @@ def targets(sizes):
         capped |= over
 
 
+def noise(docs):
+    """For each source five standard deviations of the sum of its independent trials, and a word."""
+    words, sizes = defaultdict(list), {}
+    for _, t, s in docs:
+        words[s].append(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    sizes = {s: sum(w) for s, w in words.items()}
+    goal = targets(sizes)
+    part = {s: goal[s] / sizes[s] % 1 if sizes[s] else 0 for s in sizes}
+    return lambda s: 1 + 5 * (part[s] * (1 - part[s]) * sum(x * x for x in words[s])) ** 0.5
+
+
 def check(rows, docs, near):
     words = {(i, t, s): len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, s in docs}
     sizes = defaultdict(int)
@@ -39,18 +52,25 @@ def test_whole_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     plain = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
     rows = M.report(docs).collect()
-    most = defaultdict(int)
-    for _, t, s in plain:
-        most[s] = max(most[s], len(t.split()))
-    check(rows, plain, lambda s: 1.5 * most[s])
+    check(rows, plain, noise(plain))
     assert sorted(rows) == sorted(M.report(docs.repartition(5)).collect())
 
 
+def test_copies_depend_on_the_document_and_the_rate_only(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    trial = F.pmod(F.xxhash64(F.lit(M.SEED), "doc_id", "text"), F.lit(1 << 53)) / float(1 << 53)
+    u = {r.doc_id: r.u for r in docs.select("doc_id", trial.alias("u")).collect()}
+    for r in M.report(docs).where("size > 0").collect():
+        rate = r.target / r.source_size
+        assert r.taken == r.size * (int(rate) + (u[r.doc_id] < rate - int(rate)))
+
+
 def test_edges(spark, make_docs):
     sources = [None, "b", "a", None, "b", "b", "é", "Z", "a"]
     docs = make_docs(EDGE, sources)
     rows = M.report(docs).collect()
-    check(rows, [(i, t, s) for (i, t), s in zip(EDGE, sources, strict=True)], lambda s: 40_000)
+    plain = [(i, t, s) for (i, t), s in zip(EDGE, sources, strict=True)]
+    check(rows, plain, noise(plain))
     assert M.report(make_docs([])).count() == 0
     mixed = M.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.taken // r.size for r in rows if r.size) + sum(1 for r in mixed.collect() if not (r.text or "").split())
@@ -58,7 +78,7 @@ def test_edges(spark, make_docs):
 
 def test_one_source_is_capped_at_its_share(spark, make_docs):
     rows = M.report(make_docs([(k, "w " * (k + 1)) for k in range(50)], ["s"] * 50)).collect()
-    assert {r.target for r in rows} == {1.5 * sum(range(1, 51))} and abs(sum(r.taken for r in rows) - rows[0].target) <= 50
+    assert {r.target for r in rows} == {1.5 * sum(range(1, 51))} and abs(sum(r.taken for r in rows) - rows[0].target) <= noise([(k, "w " * (k + 1), "s") for k in range(50)])("s")
 
 
 def test_tied_sources(spark):

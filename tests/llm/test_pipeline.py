@@ -7,6 +7,7 @@ from leadspark.llm.common import table
 from tests.llm.conftest import EDGE
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_mixing import check as check_mix
+from tests.llm.test_mixing import noise
 from tests.llm.test_sharding import check as check_shards
 from tests.llm.test_simhash import brute as clusters
 
@@ -36,7 +37,7 @@ def test_stages_against_brute_force(spark):
             times = Counter(i for i, _, _ in new)
             rows = mixing.report(before).collect()
             assert all(times[r.doc_id] * r.size == r.taken for r in rows)
-            check_mix(rows, old, lambda s: 1e9)
+            check_mix(rows, old, noise(old))
         else:
             rows = [type("R", (), {"doc_id": r.doc_id, "size": len(r.text.encode()) + 1, "text_crc32": zlib.crc32(r.text.encode()), "shard": r.shard, "slot": r.slot}) for r in docs.collect()]
             check_shards(rows, pairs, 10_000)
