@@ -7,7 +7,8 @@ which a linear scorer on hashed byte n-grams is fitted, on a sample of at most T
 every whole text.
 
 Defined results: a null text is empty; all labellers abstain on an empty text, and its score is that of no evidence; it is
-kept (accepted) if that is. A text of few words is judged like any other. Repeated rows give one result row
+kept (accepted) if that is. A text of few words is judged like any other, and a very long one whole. A row without a doc_id
+never enters the fit, but is scored; a score of just the cut is accepted. Repeated rows give one result row
 each; other columns of the documents are kept by filter_documents and ignored otherwise.
 """
 
@@ -27,8 +28,8 @@ from leadspark.llm.common import map_batches, materialise, record, texts_of
 
 #: Rows to fit the scorer on at most, n-gram width, selected n-grams, documents that must hold one.
 TRAIN_ROWS, WIDTH, SELECTED, LEAST = 12_000, 4, 2000, 4
-#: A document is rejected if its probability of being good is below this: in doubt it stays.
-ACCEPT = 0.2
+#: A document is rejected if it is likelier bad than good.
+ACCEPT = 0.5
 #: What share of documents is good before any vote is seen.
 PRIOR = 0.85
 #: White space, capitals, letters, and marks that prose hardly uses.
@@ -132,8 +133,8 @@ def expectation_maximisation(cast: np.ndarray, counts: np.ndarray, senses: np.nd
     share of good.
 
     Each labeller votes with one probability on good texts and one on bad texts, independently given which; the start,
-    at which all vote far more often where they are right, fixes which class is good. A text on which none votes
-    counts as good: it shows no symptom."""
+    at which all vote far more often where they are right, fixes which class is good. To abstain tells too: with the
+    probability of not voting."""
     cast = cast.astype(np.float64)
     rates = np.where(senses[:, None] > 0, [0.1, 0.8], [0.4, 0.02])  # P(votes | bad), P(votes | good)
     posterior = np.full(len(cast), prior)
@@ -151,7 +152,7 @@ def expectation_maximisation(cast: np.ndarray, counts: np.ndarray, senses: np.nd
     share = np.array([1 - prior, prior])
     own = np.where(senses > 0, 1, 0)
     accuracy = share[own] * rates[np.arange(len(senses)), own] / (rates @ share)
-    return np.where(cast.any(axis=1), posterior, np.maximum(posterior, prior)), accuracy, prior
+    return posterior, accuracy, prior
 
 
 def train(documents: DataFrame) -> tuple[hashed.Linear, np.ndarray, np.ndarray]:

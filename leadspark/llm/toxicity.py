@@ -10,12 +10,15 @@ that the split gives for training. Only the text enters a score.
 
 Defined results: a null text is empty and gets the score of no evidence; a null doc_id counts as the empty text in
 the split; rows labelled twice are toxic if any label says so, null labels are none; repeated rows give one result
-row each; with no labelled rows every score is 0.
+row each; with no labelled rows every score is 0; words and runs of single characters are decoded whole, however long they
+are, in time that follows their length; of equally likely readings the first in the lattice's order is taken.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 import re
 
 import numpy as np
@@ -34,21 +37,24 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 #: Characters that may be filler inside a word, and those that hide one letter.
 FILLER, MASK = "._-*~'`^ ", "*"
 #: Natural logarithms of the channel's probabilities: of a reading of leetspeak, of dropping filler or a repeated
-#: letter, of keeping what may be read otherwise, of a masked letter, and of dropping one of a mere double.
+#: letter or a mark at either end, of keeping what may be read otherwise, of a masked letter, and of dropping one of a mere double.
 READ, DROP, KEEP, GUESS, DOUBLE = -0.7, -0.7, -4.0, -2.5, -8.0
+#: The same of a blank among single characters that does part words, and of dropping a mark at a word's edge that is
+#: neither filler nor repeated for effect.
+BLANK, MARK = -1.5, -3.0
 #: Symbols of the character model: 0 for all that is no letter, a to z, and what the other UTF-8 bytes map to.
 SYMBOLS = 96
-#: Words of which a task remembers the restored form.
-HELD = 300_000
+#: Bytes, about, of the words of which a task remembers the restored form.
+HELD = 100_000_000
 
 _CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[128:] = 27 + (np.arange(128) // 2) % (SYMBOLS - 27)
 _LETTERS = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in range(256))
-_SUSPECT = re.compile(rb"[a-z\x80-\xff][^a-z\x80-\xff]+[a-z\x80-\xff]|([a-z])\1\1|^[$@0-9!|+]+[a-z]")
+_SUSPECT = re.compile(rb"[a-z\x80-\xff][^a-z\x80-\xff]+[a-z\x80-\xff]|([a-z])\1\1|^[$@0-9!|+(<*]+[a-z]|[a-z\x80-\xff][$@0-9!|+(<*]+$")
 _SPACED = re.compile(rb"(?<!\S)\S(?:[ ._*-]\S){2,}(?!\S)")
-_EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-_LEADING = bytes(c for c in _EDGES if c not in b"$@!|+")
+_MARKS = b"$@!|+(<*"  # what may be meant as a letter, at either end of a word too
+_EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in _MARKS)
 
 
 class CharModel:
@@ -61,6 +67,11 @@ class CharModel:
         p2 = (c2 + 20 * p1) / (c2.sum(axis=1, keepdims=True) + 20)
         self.log = np.log((c + 20 * p2[None]) / (c.sum(axis=2, keepdims=True) + 20)).astype(np.float32)
 
+    @functools.cached_property
+    def rows(self) -> list[list[list[float]]]:
+        """log as plain numbers, which a path reads one at a time."""
+        return self.log.tolist()
+
 
 def char_counts(documents: DataFrame) -> np.ndarray:
     """Trigram counts of the symbols of all texts; at most SYMBOLS cubed numbers reach the driver."""
@@ -87,85 +98,103 @@ def char_counts(documents: DataFrame) -> np.ndarray:
     return out
 
 
-def _readings(c: str, repeats: int) -> list[tuple[str, float]]:
+@functools.cache
+def _readings(c: str, repeats: int, at_edge: bool) -> tuple[tuple[str, float], ...]:
     """What a character may stand for, '' for nothing, with the channel's log probability. repeats: the length of the
-    run of this character if it isn't the first of it, else 0; plain double letters are seldom typing for effect."""
+    run of this character, at most 3, if it isn't the first of it, else 0; plain double letters are seldom typing for
+    effect. at_edge: no letter stands before it, or none after it, so that it may be a mere mark of punctuation."""
     if c in LEET:
         found = [(x, READ) for x in LEET[c]] + [(c, KEEP)]
     elif c.isalpha():
         found = [(c, 0.0)]
     else:
-        found = [(c, KEEP)]
-    if c in FILLER:
+        found = [(c, BLANK if c == " " else KEEP)]
+    if at_edge and not c.isalnum():
+        found.append(("", DROP if c in FILLER or c == "!" or repeats > 2 else MARK))
+    elif c in FILLER:
         found.append(("", DROP))
-    if c in MASK:
-        found += [(x, GUESS + np.log(1 / 26)) for x in "abcdefghijklmnopqrstuvwxyz"]
+    if c in MASK and not at_edge:
+        found += [(x, GUESS + math.log(1 / 26)) for x in "abcdefghijklmnopqrstuvwxyz"]
     if repeats and c.isalpha():
         found.append(("", DROP if repeats > 2 and c.isascii() else DOUBLE))
-    return found
+    return tuple(found)
 
 
 def _repeats(word: str) -> list[int]:
-    """For each character the length of its run, 0 for the first of it."""
+    """For each character the length of its run, 3 at most, and 0 for the first letter of it."""
     out = []
-    for _, run in itertools.groupby(word):
+    for c, run in itertools.groupby(word):
         n = len(list(run))
-        out += [0] + [n] * (n - 1)
+        out += [0 if c.isalpha() else min(n, 3)] + [min(n, 3)] * (n - 1)
     return out
 
 
+def _code_of(c: str) -> int:
+    return int(_CODE[c.encode()[-1]])
+
+
 def decode(word: str, model: CharModel) -> str:
-    """The most likely meaning of an obfuscated word: a Viterbi path over its lattice. A state is the last two
-    symbols written; a run of three or more of one letter may only stay as one or two of it."""
-    code = lambda x: int(_CODE[x.encode()[-1]])
-    steps, repeats = {(0, 0): (0.0, "")}, _repeats(word)
+    """The most likely meaning of an obfuscated word of any length: a Viterbi path over its lattice. A state is the
+    last two symbols written, with the path that led there as a chain of (path before, character); a run of
+    three or more of one letter may only stay as one or two of it. Time and memory follow the length."""
+    log, steps, repeats = model.rows, {(0, 0): (0.0, None)}, _repeats(word)
+    letters = [i for i, c in enumerate(word) if c.isalpha()]
+    first, last = (letters[0], letters[-1]) if letters else (len(word), -1)
     for i, c in enumerate(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         long_run = i >= 2 and c.isalpha() and word[i - 1] == word[i - 2] == c
-        for meant, cost in _readings(c, repeats[i]):
-            if long_run and meant:
-                continue
-            for (a, b), (total, out) in steps.items():
-                if not meant:
-                    state, value = (a, b), total + cost
-                else:
-                    s = code(meant)
-                    state, value = (b, s), total + cost + float(model.log[a, b, s])
-                if state not in after or value > after[state][0]:
-                    after[state] = (value, out + meant)
+        for meant, cost in _readings(c, repeats[i], not first < i < last):
+            if not meant:
+                for state, (total, path) in steps.items():
+                    if state not in after or total + cost > after[state][0]:
+                        after[state] = (total + cost, path)
+            elif not long_run:
+                s = _code_of(meant)
+                for (a, b), (total, path) in steps.items():
+                    value, state = total + cost + log[a][b][s], (b, s)
+                    if state not in after or value > after[state][0]:
+                        after[state] = (value, (path, meant))
         steps = after
-    return max((total + float(model.log[a, b, 0]), out) for (a, b), (total, out) in steps.items())[1]
+    _, path = max(((total + log[a][b][0], path) for (a, b), (total, path) in steps.items()), key=lambda x: x[0])
+    out = []
+    while path is not None:
+        path, meant = path
+        out.append(meant)
+    return "".join(reversed(out))
 
 
 class Restorer(dict):
-    """word -> restored word, both UTF-8 and lower case."""
+    """word -> restored word, both UTF-8 and lower case. Remembers words of HELD bytes in all."""
 
     def __init__(self, model: CharModel):
         super().__init__()
         self.model = model
+        self.bytes = 0
 
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(_EDGES).lstrip(_LEADING)
+        core = word.strip(_EDGES)
         out = word
-        if len(core) <= 64 and _SUSPECT.search(core):
+        if _SUSPECT.search(core):
             at = word.find(core)
             out = word[:at] + decode(core.decode("utf-8", "replace"), self.model).encode() + word[at + len(core) :]
-        if len(self) >= HELD:
+        self.bytes += 200 + 2 * len(word)
+        if self.bytes > HELD:
             self.clear()
+            self.bytes = 0
         self[word] = out
         return out
 
     def text(self, text: bytes) -> bytes:
-        """Restored words, space-joined."""
-        joined = b" ".join(map(self.__getitem__, words_of(text)))
-        return _SPACED.sub(self._unspaced, joined)
-
-    def _unspaced(self, match: re.Match) -> bytes:
-        """A run of single characters is one word if its letters join to a likelier text; long runs go in pieces."""
-        run = match[0]
-        if len(run) > 64 or not re.search(rb"[a-z]", run):
-            return run
-        return decode(run.decode("utf-8", "replace"), self.model).encode()
+        """Restored words, space-joined. Runs of single characters are decoded from the text as it is, so that their
+        leetspeak and masks are read in their lattice; what is left is restored word by word."""
+        joined, out, at = b" ".join(words_of(text)), [], 0
+        for run in _SPACED.finditer(joined):
+            if re.search(rb"[a-z]", run[0]):
+                out += map(self.__getitem__, joined[at : run.start()].split())
+                out.append(decode(run[0].decode("utf-8", "replace"), self.model).encode())
+                at = run.end()
+        out += map(self.__getitem__, joined[at:].split())
+        return b" ".join(out)
 
 
 def plain(text: bytes) -> bytes:
