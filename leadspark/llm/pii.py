@@ -1,14 +1,16 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
-Patterns find e-mail addresses, IP addresses, payment cards and phone numbers: the protected entities. Terms of
-the texts that hold an entity are counted over the corpus; a term discloses the entity if seeing it gives away at least
-DISCLOSURE of the entity's information content, pmi(term, entity) / ic(entity), with ic(e) = log2(N / df(e)) and
-pmi(t, e) = log2(N df(t, e) / (df(t) df(e))). df counts documents, and texts are counted whole. Entities, and disclosing terms
-wherever they stand in any text, are generalised to their kind or removed.
-
-Defined results: a null text is empty; a term needs MIN_TEXTS different texts that hold the entity too, so that chance
-and exact copies disclose nothing (every word of one text only would give away an entity of that text only); letters
-inside an entity are no terms; repeated rows give one result row each; other columns of the documents are ignored.
+Patterns find e-mail addresses, IP addresses, payment cards and phone numbers. Protected entities are these strings, and
+the groups they belong to: the domain of an address, the first two parts of an IP, the first six digits of a card, the
+first four of a phone number. Co-occurrence is counted over whole texts of the whole corpus. Of each entity e the
+information content is ic(e) = -log2 P(e), with P(e) = df(e) / N, and a term t gives away
+pmi(t, e) = log2 P(e | t) - log2 P(e) of it. P(e | t) = (df(t, e) + SMOOTH P(e)) / (df(t) + SMOOTH) is smoothed towards P(e), so that a
+term seen once says less than one seen often. A term discloses e if pmi(t, e) is at least DISCLOSURE of ic(e). df counts documents.
+Entities, and disclosing terms wherever they stand in any text, are generalised to their kind or removed.
+
+Defined results: a null text is empty; an entity of fewer than LEAST_BITS of information (one in many documents) is no secret,
+and no term discloses it, but it is found itself; letters inside an entity are no terms; ties at the threshold disclose; very
+long texts are read whole; repeated rows count as documents and give one result row each; other columns of the documents are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ PATTERNS = {
 }
 #: An address of parts of at most 255 each.
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}|)"
-#: Share of an entity's information from which a term discloses it, and the different texts that must show both.
-DISCLOSURE, MIN_TEXTS = 0.8, 3
-#: Up to so many terms are looked up in place; more are joined with the words of all texts.
-LITERAL_TERMS = 20_000
+#: Share of an entity's information from which a term discloses it; documents without the entity's surplus that every
+#: term is taken to have been seen in; information below which an entity is no secret.
+DISCLOSURE, SMOOTH, LEAST_BITS = 0.95, 0.5, 3.0
+#: Up to so many rows a table of terms is broadcast; a larger one is joined as Spark plans.
+BROADCAST_ROWS = 500_000
 #: Fixed value: letters, in any script.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]++"
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -111,74 +114,78 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), ascii_lower))
 
 
+def _group(s: Column, found: Column) -> Column:
+    """The group that an entity of a kind belongs to."""
+    digits = F.regexp_replace(found, "[^0-9]", "")
+    two = F.concat_ws(".", F.slice(F.split(found, r"\."), 1, 2))
+    group = F.when(s["kind"] == 0, F.concat(F.lit("@"), F.lower(F.substring_index(found, "@", -1)))).when(s["kind"] == 1, two)
+    return group.when(s["kind"] == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+
+
 def _scan(documents: DataFrame) -> DataFrame:
     """One row a document, written to the shared folder: doc_id, hash, base spans, and, where there are any, the
-    distinct entities and the distinct terms of the whole text outside them."""
+    distinct entities (and their groups) and the distinct terms of the whole text outside them."""
     docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), base_spans(F.col("text")).alias("base"))
-    entity = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+    found = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+    entity = lambda s: F.concat_ws(":", s["kind"].cast("string"), found(s))
+    group = lambda s: F.concat_ws("~", s["kind"].cast("string"), _group(s, found(s)))
     holds = F.size("base") > 0
-    entities = F.when(holds, F.array_distinct(F.transform("base", entity)))
+    entities = F.when(holds, F.array_distinct(F.concat(F.transform("base", entity), F.transform("base", group))))
     words = F.when(holds, _words(_blanked(F.col("text"), F.col("base"))))
     return materialise(docs.select("doc_id", "hash", "base", entities.alias("entities"), words.alias("words")), "pii")
 
 
-def _listed(terms: DataFrame) -> list[str] | None:
-    """The terms, if they are no more than LITERAL_TERMS."""
-    listed = [r[0] for r in terms.limit(LITERAL_TERMS + 1).collect()]  # bounded by the limit
-    return listed if len(listed) <= LITERAL_TERMS else None
-
-
-def _those(words: Column, listed: list[str] | None) -> Column:
-    if listed is None:
-        return words
-    return F.filter(words, lambda w: w.isin(listed)) if listed else F.array().cast("array<string>")
+def _small(df: DataFrame) -> DataFrame:
+    """df, written; broadcast if it is no more than BROADCAST_ROWS."""
+    df = materialise(df, "pii-small")
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _document_frequency(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: the documents that hold each of the terms."""
-    listed = _listed(terms)
-    found = _those(_words(F.coalesce(F.col("text"), F.lit(""))), listed)
-    counts = documents.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return counts.join(terms, "term", "left_semi") if listed is None else counts
+def _most(p: Column) -> Column:
+    """The least P(e | t) that discloses e, by P(e)."""
+    return F.pow(p, F.lit(1 - DISCLOSURE))
 
 
 def disclosures(documents: DataFrame, scan: DataFrame) -> DataFrame:
     """Pairs (entity, term) in which the term gives the entity away, with their share of its information.
 
-    Equal texts are counted once, with their number. A pair whose term stands in too many of the texts with entities
-    can't reach DISCLOSURE, whatever its df over all texts, which is no smaller: such pairs go before that df is counted."""
-    total = scan.count()
+    Equal texts are counted once, with their number. A term can disclose no entity of a text if it stands in more
+    documents than the text's commonest entity allows; so of each text only its rarer terms are paired with its entities."""
+    total = float(scan.count())
     texts = scan.where("entities is not null").groupBy("hash").agg(F.count("*").alias("n"), F.first("entities").alias("entities"), F.first("words").alias("words"))
     texts = materialise(texts, "pii-texts")
     each = texts.select("hash", "n", F.explode("entities").alias("entity"))
-    known = each.groupBy("entity").agg(F.sum("n").alias("df_entity"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS).where(F.col("df_entity") < total).drop("texts")
-    held = each.join(known, "entity").groupBy("hash").agg(F.collect_list(F.struct("entity", "df_entity")).alias("known"))
-    texts = texts.drop("entities").join(held, "hash")
-    pairs = texts.select("n", "words", F.explode("known").alias("e")).select("n", "e.*", F.explode("words").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"), F.first("df_entity").alias("df_entity")).where(F.col("texts") >= MIN_TEXTS)
-    least = texts.select("n", F.explode("words").alias("term")).groupBy("term").agg(F.sum("n").alias("least_df"))
-    ic = F.log2(F.lit(float(total)) / F.col("df_entity"))
-    share = lambda df: F.log2(F.lit(float(total)) * F.col("both") / (F.col(df) * F.col("df_entity"))) / ic
-    pairs = materialise(pairs.join(least, "term").where(share("least_df") >= DISCLOSURE - 1e-9), "pii-pairs")
-    df = _document_frequency(documents, pairs.select("term").distinct())
-    return pairs.join(df, "term").select("entity", "term", share("df").alias("share")).where(F.col("share") >= DISCLOSURE)
+    p = F.col("df_entity") / F.lit(total)
+    known = materialise(each.groupBy("entity").agg(F.sum("n").alias("df_entity")).where(F.col("df_entity") <= total / 2**LEAST_BITS), "pii-entities")
+    # (df(t, e) + SMOOTH P) / (df(t) + SMOOTH) >= _most(P), and df(t, e) <= df(e)
+    limit = (F.col("df_entity") + SMOOTH * p) / _most(p) - SMOOTH
+    held = materialise(each.select("hash", "entity").join(known, "entity").groupBy("hash").agg(F.max(limit).alias("limit"), F.collect_list(F.struct("entity", "df_entity")).alias("known")), "pii-known")
+    df = documents.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    most = held.agg(F.max("limit")).first()[0] or 0.0
+    rare = materialise(df.where(F.col("df") <= most + 1e-9), "pii-terms")
+    words = texts.select("hash", F.explode("words").alias("term")).join(rare, "term")
+    words = words.groupBy("hash").agg(F.collect_list(F.struct("term", "df")).alias("rare"))
+    both = texts.select("hash", "n").join(held, "hash").join(words, "hash")
+    both = both.select("n", F.explode("known").alias("e"), F.filter("rare", lambda w: w["df"] <= F.col("limit") + 1e-9).alias("rare"))
+    pairs = both.select("n", F.col("e.entity").alias("entity"), F.col("e.df_entity").alias("df_entity"), F.explode("rare").alias("w"))
+    pairs = pairs.groupBy("entity", F.col("w.term").alias("term")).agg(F.sum("n").alias("both"), F.first("df_entity").alias("df_entity"), F.first("w.df").alias("df"))
+    given = (F.col("both") + SMOOTH * p) / (F.col("df") + SMOOTH)
+    share = 1 - F.log2(given) / F.log2(p)
+    return pairs.select("entity", "term", "both", "df", "df_entity", share.alias("share")).where(F.col("share") >= DISCLOSURE - 1e-12)
 
 
 def _occurrences(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """hash, terms: for each text that holds any of the terms outside personal data, all their (start, end), sorted."""
-    listed = _listed(terms)
-    docs = documents.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    found = _those(_words(F.col("text")), listed)
-    if listed is not None:
-        docs = docs.withColumn("told", found).where(F.size("told") > 0).dropDuplicates(["hash"])
-    else:
-        told = docs.select("hash", F.explode(found).alias("term")).join(terms, "term", "left_semi").groupBy("hash").agg(F.collect_set("term").alias("told"))
-        docs = docs.dropDuplicates(["hash"]).join(told, "hash")
+    """hash, terms: for each text that holds any of the terms outside personal data, all their (start, end), sorted.
+    Few texts do, so these are found by their terms first, and their texts come by a join on the hash."""
+    docs = documents.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("hash"), "text")
+    told = docs.select("hash", F.explode(_words(F.col("text"))).alias("term")).join(_small(terms), "term", "left_semi")
+    told = _small(told.groupBy("hash").agg(F.collect_set("term").alias("told")))
     make = lambda m, start, end: F.struct(start.alias("start"), end.alias("end"))
     is_told = lambda m: F.array_contains("told", ascii_lower(m))
     spans = _matches(F.col("blanked"), TERM, is_told, make, "struct<start:int,end:int>")
-    return docs.select("hash", "told", _blanked(F.col("text"), base_spans(F.col("text"))).alias("blanked")).select("hash", spans.alias("terms")).where(F.size("terms") > 0)
+    held = docs.join(told, "hash").dropDuplicates(["hash"])
+    return held.select("hash", "told", _blanked(F.col("text"), base_spans(F.col("text"))).alias("blanked")).select("hash", spans.alias("terms")).where(F.size("terms") > 0)
 
 
 def find(documents: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+from collections import Counter
 
 from leadspark.llm import pii as P
 from leadspark.llm.common import table
@@ -65,13 +67,53 @@ def test_disclosing_terms(spark, make_docs):
     assert {r.doc_id: r.text for r in P.sanitise(docs, remove_terms=True).collect()}[1] == "number 1: the  writes from [email] today"
 
 
-def test_terms_without_the_literal_set(spark, make_docs, monkeypatch):
+def test_terms_without_a_broadcast(spark, make_docs, monkeypatch):
     texts = [(k, f"number {k}: the Zorblax writes from zed@x.org today") for k in range(5)] + [(10 + k, f"the {k}") for k in range(20)]
     want = sorted(map(str, P.report(make_docs(texts)).collect()))
-    monkeypatch.setattr(P, "LITERAL_TERMS", 0)
+    monkeypatch.setattr(P, "BROADCAST_ROWS", 0)
     assert sorted(map(str, P.report(make_docs(texts)).collect())) == want
 
 
+def disclosing(docs):
+    """The disclosing terms by hand."""
+    low = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+    n, df, joint, ents = len(docs), Counter(), Counter(), Counter()
+    for _, t in docs:
+        t = t or ""
+        df.update({low(w) for w in re.findall(P.TERM[:-1], t)})
+        spans = sorted((m.start(), m.end(), kind, m[0]) for kind in RE for m in re.finditer(RE[kind], t, re.A) if KEEP[kind](m[0]))
+        if not spans:
+            continue
+        chars, held = list(t), set()
+        for a, b, kind, found in spans:
+            chars[a:b] = " " * (b - a)
+            digits = re.sub("[^0-9]", "", found)
+            group = {"email": found.split("@")[-1].lower(), "ip": ".".join(found.split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+            held |= {(kind, found), (kind, "group", group)}
+        ents.update(held)
+        joint.update((e, w) for e in held for w in {low(w) for w in re.findall(P.TERM[:-1], "".join(chars))})
+    out = set()
+    for (e, w), both in joint.items():
+        p = ents[e] / n
+        given = (both + P.SMOOTH * p) / (df[w] + P.SMOOTH)
+        if p <= 2**-P.LEAST_BITS and (math.log2(given) - math.log2(p)) / -math.log2(p) >= P.DISCLOSURE - 1e-12:
+            out.add(w)
+    return out
+
+
+def test_terms_of_the_whole_table_by_hand(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    plain = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = disclosing(plain)
+    assert want and {r.term for r in P.disclosures(docs, P._scan(docs)).collect()} == want
+    text = dict(plain)
+    for r in P.report(docs).collect():
+        spans = [(int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"]
+        assert len(spans) == r.n_term
+        for a, b in spans:
+            assert "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[r.doc_id][a:b]) in want
+
+
 def test_empty(spark, make_docs):
     assert P.report(make_docs([])).count() == 0
 
@@ -79,10 +121,10 @@ def test_empty(spark, make_docs):
 def test_disclosing_terms_stand_anywhere(spark, make_docs):
     """Far from the address, twice in a text, and in texts that don't hold the address."""
     far = " the plain words go on" * 30
-    texts = [(k, f"number {k}: zed@x.org writes{far}, says Zorblax") for k in range(5)]
-    texts += [(10 + k, f"the mail of user{k}@y.org number {k} writes and says: the plain words go on") for k in range(40)]
+    texts = [(k, f"number {k}: zed@x.org writes{far}, says Zorblax") for k in range(30)]
+    texts += [(100 + k, f"the mail of user{k}@y.org number {k} writes and says: the plain words go on") for k in range(240)]
     docs = make_docs([*texts, (60, f"zorblax{far} and ZORBLAX again")])
     found = {r.doc_id: r for r in P.report(docs).collect()}
-    assert [found[k].n_term for k in range(5)] == [1] * 5 and all(found[10 + k].n_term == 0 for k in range(40))
+    assert [found[k].n_term for k in range(30)] == [1] * 30 and all(found[100 + k].n_term == 0 for k in range(240))
     assert found[60].n_term == 2 and found[60].spans.startswith("term:0:7,term:")
     assert {r.doc_id: r.text for r in P.sanitise(docs).collect()}[60] == f"[term]{far} and [term] again"
