@@ -1,11 +1,16 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Every run of WINDOW words of a benchmark item (the whole item, if shorter) is a window. The windows' hashes go to
-every task as a hash set; each document's token windows are hashed and looked up in place, the few that are found
+every task as a broadcast hash set; each document's token windows are hashed and looked up, the few that are found
 are verified by comparing words, and hit words or whole documents are removed.
 
-Defined results: a null text has no words; items without words or with a null id take no part; a document without
-words is clean; repeated rows give one result row each; columns of the documents other than doc_id and text are
+Up to LITERAL_WINDOWS distinct windows the set is part of the generated code; up to BROADCAST_WINDOWS, some 24 bytes each in a
+task's process, it is a broadcast table that the documents' hashes stream past; past that stated bound of memory a
+broadcast isn't safe, and Spark shuffles. All three give the same rows, and none but the last moves what isn't found.
+
+Defined results: a null text has no words; items without words take no part; the windows of an item with a null id hit,
+but it is no item to list; a document without words is clean; very long texts are cut into windows whole; overlapping
+hits count each word once; repeated rows give one result row each; columns of the documents other than doc_id and text are
 never read by name, so theirs may clash with ours.
 """
 
@@ -14,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import ascii_lower
+from leadspark.llm.common import ascii_lower, materialise
 
 #: Words in a window.
 WINDOW = 10
-#: Up to so many distinct windows are sent to the tasks as a literal hash set; more are joined by hash.
-LITERAL_WINDOWS = 20_000
+#: Up to so many distinct windows are sent to the tasks in the code, and up to so many as a broadcast table.
+LITERAL_WINDOWS, BROADCAST_WINDOWS = 20_000, 4_000_000
 #: Fixed value: what separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -39,8 +44,9 @@ def _starts(n: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """One row for each distinct window: gram (its words, space-joined), length, hash, items (ids as strings)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws")).where("item is not null and size(ws) > 0")
+    """One row for each distinct window: gram (its words, space-joined), length, hash, items (ids as
+    strings, none for those of an item without an id)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("ws")).where("size(ws) > 0")
     starts = F.when(F.size("ws") >= WINDOW, F.sequence(F.lit(1), F.size("ws") - (WINDOW - 1))).otherwise(F.array(F.lit(1)))
     cut = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("ws", i, WINDOW))).alias("ws"))
     hashes = F.lit(None).cast("long")
@@ -60,43 +66,43 @@ def _candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return docs.withColumn("cand", F.concat(none, *parts) if parts else none)
 
 
-def _joined(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same for any number of windows, by a hash join that Spark plans: key, at, length, items of verified hits.
-    Only hashes are joined; the words of what is found are then compared with the document's."""
+def _looked_up(docs: DataFrame, windows: DataFrame, lengths: list[int], bounded: bool) -> DataFrame:
+    """The same for any number of windows: key, at, length, items of verified hits. Only hashes meet the windows, in a
+    broadcast join if their number is bounded; the words of what is found are then compared with the document's."""
     parts = []
     for length in lengths:
         parts.append(F.transform(_starts(F.col("n"), length), lambda i: F.struct(i.alias("at"), F.lit(length).alias("length"), _window_hash(F.col("ws"), i, length).alias("hash"))))  # noqa: B023
     each = docs.select("key", F.explode(F.concat(*parts)).alias("w")).select("key", "w.*")
-    found = each.join(windows, ["hash", "length"]).select("key", "at", "length", "gram", "items")
-    found = found.join(docs.select("key", "ws"), "key")
-    return found.where(F.concat_ws(" ", F.slice("ws", F.col("at"), F.col("length"))) == F.col("gram")).select("key", "at", "length", "items")
+    known = windows.select("hash", "length").distinct()
+    found = materialise(each.join(F.broadcast(known) if bounded else known, ["hash", "length"], "left_semi"), "windows-found")
+    held = docs.join(found.groupBy("key").agg(F.collect_list(F.struct("at", "length", "hash")).alias("w")), "key")  # the documents hit
+    grams = held.select("key", F.explode(F.transform("w", lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length"), x["hash"].alias("hash"), F.concat_ws(" ", F.slice("ws", x["at"], x["length"])).alias("gram")))).alias("w"))
+    return grams.select("key", "w.*").join(windows, ["hash", "length", "gram"]).select("key", "at", "length", "items")
 
 
 def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, text_hash, n_words, spans (start and length of found windows, by
     start), items (distinct ids of the items with a window found), copies folded: equal rows are counted in `rows`."""
-    windows = benchmark_windows(benchmark).persist()
-    try:
-        bound = windows.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).first()
-        small = bound["n"] <= LITERAL_WINDOWS
-        docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        docs = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g")).alias("key"), words(F.col("text")).alias("ws")).withColumn("n", F.size("ws"))
-        if small:
-            found = _candidates(docs, windows).select("key", "n", F.posexplode_outer("cand").alias("p", "c"))
-            known = F.broadcast(windows.select("gram", F.col("length").alias("_length"), "items"))  # at most LITERAL_WINDOWS rows
-            found = found.select("key", "n", F.coalesce("p", F.lit(0)).alias("p"), "c.*")
-            found = found.join(known, (found["gram"] == known["gram"]) & (found["length"] == known["_length"]), "left")
-            rows = found.select("key", "n", (F.col("p") == 0).cast("long").alias("is_row"), "at", "length", "items")
-        else:
-            none = F.lit(None)
-            base = docs.select("key", "n", F.lit(1).cast("long").alias("is_row"), none.cast("int").alias("at"), none.cast("int").alias("length"), none.cast("array<string>").alias("items"))
-            more = _joined(docs, windows, sorted(bound["lengths"])).select("key", F.lit(None).cast("int").alias("n"), F.lit(0).cast("long").alias("is_row"), "at", "length", "items")
-            rows = base.unionByName(more)
-        span = F.when(F.col("items").isNotNull(), F.struct("at", "length"))
-        by_doc = rows.groupBy("key").agg(F.max("n").cast("long").alias("n_words"), F.sum("is_row").alias("rows"), F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        return by_doc.select("key.doc_id", F.col("key.h").alias("text_hash"), "rows", "n_words", "spans", "items")
-    finally:
-        windows.unpersist()
+    windows = materialise(benchmark_windows(benchmark), "windows")
+    bound = windows.agg(F.count("*").alias("n"), F.collect_set("length").alias("lengths")).first()
+    docs = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g")).alias("key"), words(F.col("text")).alias("ws")).withColumn("n", F.size("ws"))
+    if bound["n"] <= LITERAL_WINDOWS:
+        found = _candidates(docs, windows).select("key", "n", F.posexplode_outer("cand").alias("p", "c"))
+        known = F.broadcast(windows.select("gram", F.col("length").alias("_length"), "items"))  # at most LITERAL_WINDOWS rows
+        found = found.select("key", "n", F.coalesce("p", F.lit(0)).alias("p"), "c.*")
+        found = found.join(known, (found["gram"] == known["gram"]) & (found["length"] == known["_length"]), "left")
+        rows = found.select("key", "n", (F.col("p") == 0).cast("long").alias("is_row"), "at", "length", "items")
+    else:
+        none = F.lit(None)
+        base = docs.select("key", "n", F.lit(1).cast("long").alias("is_row"), none.cast("int").alias("at"), none.cast("int").alias("length"), none.cast("array<string>").alias("items"))
+        one = docs.dropDuplicates(["key"])
+        more = _looked_up(one, windows, sorted(bound["lengths"]), bound["n"] <= BROADCAST_WINDOWS)
+        rows = base.unionByName(more.select("key", none.cast("int").alias("n"), F.lit(0).cast("long").alias("is_row"), "at", "length", "items"))
+    span = F.when(F.col("items").isNotNull(), F.struct("at", "length"))
+    distinct = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))  # each list of items once a document
+    by_doc = rows.groupBy("key").agg(F.max("n").cast("long").alias("n_words"), F.sum("is_row").alias("rows"), F.array_sort(F.collect_set(span)).alias("spans"), distinct.alias("items"))
+    return by_doc.select("key.doc_id", F.col("key.h").alias("text_hash"), "rows", "n_words", "spans", "items")
 
 
 def merged(spans: Column) -> Column:
@@ -159,7 +165,7 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 SQL = r"""
 WITH w AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, len(list_slice(ws, i, i + 9)) AS length, array_to_string(list_slice(ws, i, i + 9), ' ') AS gram
   FROM w, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS t(i) WHERE len(ws) > 0),
@@ -171,7 +177,7 @@ g AS (
   FROM d, (SELECT DISTINCT length FROM win) AS l, unnest(generate_series(1, len(ws) - l.length + 1)) AS t(i)),
 h AS (SELECT g.k, g.i, g.length, win.item_id FROM g JOIN win ON g.gram = win.gram AND g.length = win.length),
 n AS (SELECT k, count(DISTINCT p) AS n_hit FROM h, unnest(generate_series(i, i + length - 1)) AS t(p) GROUP BY k),
-it AS (SELECT k, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h GROUP BY k)
+it AS (SELECT k, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM h WHERE item_id IS NOT NULL GROUP BY k)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n.n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(len(it.items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(it.items, ','), '')) AS items_sha256,
   coalesce(n.n_hit, 0) > 0 AS contaminated

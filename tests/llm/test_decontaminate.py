@@ -13,9 +13,9 @@ def brute(docs, items, window=10):
     wins = {}
     for i, t in items:
         ws = cut(t)
-        if i is not None and ws:
+        if ws:
             for k in range(max(1, len(ws) - window + 1)):
-                wins.setdefault(tuple(ws[k : k + window]), set()).add(str(i))
+                wins.setdefault(tuple(ws[k : k + window]), set()).update([] if i is None else [str(i)])
     lengths, out = {len(w) for w in wins}, []
     for d, t in docs:
         ws, hit, found = cut(t), set(), set()
@@ -28,13 +28,14 @@ def brute(docs, items, window=10):
     return sorted(out, key=str)
 
 
-ITEMS = [(10, "one two three four five six seven eight nine ten eleven twelve"), (2, "Tiny item"), (3, None), (4, "..."), (None, "no id"), (10, "tiny ITEM"), (5, "a a a a a a a a a a a")]
-TEXTS = [*EDGE, (20, "x One two three four five six seven eight nine ten y"), (21, "two three four five six seven eight nine ten eleven, twelve; tiny item"), (22, "a " * 25), (23, "one two three")]
+ITEMS = [(10, "one two three four five six seven eight nine ten eleven twelve"), (2, "Tiny item"), (3, None), (4, "..."), (None, "no id"), (None, "tiny item"), (10, "tiny ITEM"), (5, "a a a a a a a a a a a")]
+TEXTS = [*EDGE, (20, "x One two three four five six seven eight nine ten y"), (21, "two three four five six seven eight nine ten eleven, twelve; tiny item"), (22, "a " * 25), (23, "one two three"), (24, "here is no id given")]
 
 
-@pytest.mark.parametrize("literal", [20_000, 0])
-def test_edges(spark, make_docs, monkeypatch, literal):
+@pytest.mark.parametrize("literal,broadcast", [(20_000, 4_000_000), (0, 4_000_000), (0, 0)])
+def test_edges(spark, make_docs, monkeypatch, literal, broadcast):
     monkeypatch.setattr(D, "LITERAL_WINDOWS", literal)
+    monkeypatch.setattr(D, "BROADCAST_WINDOWS", broadcast)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted((tuple(r) for r in D.report(make_docs(TEXTS), items).collect()), key=str)
     assert got == brute(TEXTS, ITEMS)
