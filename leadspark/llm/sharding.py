@@ -30,8 +30,8 @@ SHARDS = 8
 VIRTUAL, EPSILON = 256, 0.002
 #: Arcs of the ring, pieces of a large arc, and the share of a shard's mean load that makes an arc large.
 CELLS, SUBCELLS, LARGE = 1 << 16, 1 << 10, 1 / 4
-#: Buckets in which the rows of a shard are numbered.
-BUCKETS = 256
+#: Buckets in which the rows of a shard are numbered: as many, a power of two, as keep about BUCKET_ROWS in each, MOST at most.
+BUCKET_ROWS, MOST_BUCKETS = 1 << 15, 1 << 20
 
 
 def _bits(h: Column, n: int) -> Column:
@@ -49,7 +49,7 @@ def with_keys(documents: DataFrame, columns: list[str]) -> DataFrame:
         F.crc32(text.cast("binary")).alias("shard_crc"),
         _bits(F.xxhash64(text), CELLS).alias("shard_cell"),
         _bits(F.xxhash64(F.lit("sub"), "doc_id"), SUBCELLS).alias("shard_sub"),
-        _bits(F.xxhash64(F.lit("slot"), "doc_id"), BUCKETS).alias("shard_bucket"),
+        F.xxhash64(F.lit("slot"), "doc_id").alias("shard_bucket"),
     )
 
 
@@ -99,7 +99,11 @@ def with_shard(keyed: DataFrame, large: list[int], placed: DataFrame, name: str
 
 
 def with_slot(df: DataFrame, counted: DataFrame) -> DataFrame:
-    """df with slot, from 0 within each shard. counted: the same rows, thin; its counts are at most BUCKETS a shard."""
+    """df with slot, from 0 within each shard. counted: the same rows, thin. Rows are numbered in buckets by a hash of the
+    id, whose number grows with the rows; counts are one a bucket and shard."""
+    rows = counted.count()
+    buckets = min(MOST_BUCKETS, max(256, 1 << max(0, rows // (BUCKET_ROWS * SHARDS)).bit_length()))
+    df, counted = (x.withColumn("shard_bucket", _bits(F.col("shard_bucket"), buckets)) for x in (df, counted))
     counts = counted.groupBy("shard", "shard_bucket").agg(F.count("*").alias("n"))
     first = counts.withColumn("shard_first", F.sum("n").over(Window.partitionBy("shard").orderBy("shard_bucket")) - F.col("n")).drop("n")
     order = Window.partitionBy("shard", "shard_bucket").orderBy("doc_id", "shard_crc", "shard_size")
