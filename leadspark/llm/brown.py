@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -350,23 +351,26 @@ def sequences(documents: DataFrame, model: Model, is_train: Column) -> DataFrame
         buckets = class_of[-BUCKETS:]
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            known, logs, seqs = [], [], []
-            columns = (batch.column(c) for c in ("n_known", "logs", "classes", "rare", "uses", "found"))
-            for n_known, log, seq, rare, uses, found in zip(*columns, strict=True):
-                n_known, log, seq, uses = n_known.as_py(), log.as_py(), seq.as_py(), np.frombuffer(uses.as_py(), np.int32)
-                if len(uses):
-                    words = rare.as_py()
-                    of, count = np.array([buckets[suffix_bucket(w)] for w in words]), np.zeros(len(words))
-                    if found.is_valid:
-                        for x in found.as_py():
-                            of[x["p"]], count[x["p"]] = x["class"], x["n"]
-                    sequence = np.frombuffer(seq, np.uint8).copy()
-                    sequence[sequence == ELSEWHERE] = of[uses]
-                    seq, n_known, log = sequence.tobytes(), n_known + int((count[uses] > 0).sum()), log + float(np.log10(count + 1)[uses].sum())
-                known.append(n_known)
-                logs.append(log)
-                seqs.append(seq)
-            return record(doc_id=batch.column("doc_id"), train=batch.column("train"), n_tokens=batch.column("n_tokens"), n_known=pa.array(known, pa.int64()), logs=pa.array(logs, pa.float64()), classes=pa.array(seqs, pa.binary()))
+            """All rows at once: what is listed, used and marked in them follows one order."""
+            flat = {c: b"".join(x.as_buffer().to_pybytes() for x in batch.column(c)) for c in ("classes", "uses")}
+            sequence, uses = np.frombuffer(flat["classes"], np.uint8).copy(), np.frombuffer(flat["uses"], np.int32)
+            rare, found = batch.column("rare"), batch.column("found")
+            first, words = rare.offsets.to_numpy() - rare.offsets[0].as_py(), rare.flatten()
+            of, count = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+            answers, sizes = found.flatten(), np.nan_to_num(pc.list_value_length(found).to_numpy(zero_copy_only=False)).astype(np.int64)
+            at = np.repeat(first[:-1], sizes) + answers.field("p").to_numpy()
+            of[at], count[at] = answers.field("class").to_numpy(), answers.field("n").to_numpy()
+            for i in np.flatnonzero(of < 0).tolist():
+                of[i] = buckets[suffix_bucket(words[i].as_py())]
+            used = np.array([len(x.as_buffer()) // 4 for x in batch.column("uses")], np.int64)
+            place = uses + np.repeat(first[:-1], used)
+            sequence[sequence == ELSEWHERE] = of[place]
+            owner, rows = np.repeat(np.arange(batch.num_rows), used), batch.num_rows
+            known = batch.column("n_known").to_numpy() + np.bincount(owner, count[place] > 0, rows).astype(np.int64)
+            logs = batch.column("logs").to_numpy() + np.bincount(owner, np.log10(count[place] + 1.0), rows)
+            ends = np.concatenate(([0], np.cumsum(batch.column("n_tokens").to_numpy())))
+            seqs = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(sequence)])
+            return record(doc_id=batch.column("doc_id"), train=batch.column("train"), n_tokens=batch.column("n_tokens"), n_known=known, logs=logs, classes=seqs)
 
         return each
 
