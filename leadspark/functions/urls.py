@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "co.kr", "or.kr", "ne.kr", "go.kr", "co.jp", "or.jp", "ne.jp", "ac.jp", "com.au", "net.au", "com.sg", "com.my", "com.cn", "com.hk", "com.tw", "com.br", "com.mx", "co.in", "co.id", "co.th", "com.vn", "com.ph", "co.nz", "co.za", "com.tr", "com.sa", "com.eg")
+#: Suffixes of several labels under which names are registered, by registries and by hosts of tenants.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "me.uk", "ltd.uk", "plc.uk", "co.kr", "or.kr", "ne.kr", "re.kr", "go.kr", "pe.kr", "com.au", "net.au", "org.au", "co.jp", "or.jp", "ne.jp", "ac.jp", "go.jp", "gr.jp",
+    "com.br", "com.cn", "net.cn", "org.cn", "com.hk", "com.sg", "com.my", "com.tr", "co.za", "com.mx", "co.nz", "com.ar", "com.ae", "co.in", "com.vn", "co.id", "com.ph", "com.sa", "com.qa", "com.kw", "com.bh", "com.om", "com.eg", "com.jo", "com.lb",
+    "co.il", "com.pk", "com.bd", "com.lk", "com.np", "co.th", "in.th", "com.tw", "com.co", "com.pe", "com.uy", "com.ec", "com.ve", "com.do", "com.gt", "co.cr", "com.ng", "com.gh", "co.ke", "com.tn", "com.ua", "com.pl", "com.ro", "com.ru", "com.gr", "com.cy", "com.pt", "com.es",
+    "cafe24.com", "imweb.me", "modoo.at", "creatorlink.net", "tistory.com", "smartstore.naver.com", "blog.naver.com", "post.naver.com", "myshopify.com", "wixsite.com", "editorx.io", "blogspot.com", "wordpress.com", "tumblr.com", "pages.dev", "workers.dev", "netlify.app", "vercel.app",
+    "github.io", "gitlab.io", "web.app", "firebaseapp.com", "appspot.com", "herokuapp.com", "azurewebsites.net", "onrender.com", "webflow.io", "weebly.com", "squarespace.com", "bigcartel.com", "mystrikingly.com", "jimdosite.com", "jimdofree.com", "godaddysites.com", "business.site", "notion.site", "glitch.me", "carrd.co", "framer.website",
+)
+#: Labels that a registry, not a company, owns right below a country's two letters.
+REGISTRY_LABELS = ("ac", "ad", "asso", "biz", "co", "com", "ed", "edu", "firm", "gen", "go", "gob", "gouv", "gov", "gr", "ind", "info", "lg", "ltd", "me", "mil", "mun", "ne", "net", "nom", "or", "org", "plc", "pro", "re", "res", "sch", "store", "tm", "web")
 
 
 def host(url: Column) -> Column:
@@ -19,14 +27,19 @@ def host(url: Column) -> Column:
 
 
 def canonical_domain(url: Column) -> Column:
-    """The registrable domain: three labels under a two-label suffix, else two. NULL for suffixes, IPv4, single labels."""
-    h = host(url)
+    """The registrable domain: one label more than the longest known suffix, or than one of a registry's shape
+    (com.pk) in a host of three labels or more; else two labels. NULL for a suffix itself, IPv4, a single label, and a host that
+    is no plain ASCII domain: no key is better than one that strangers share. A host written in other letters is NULL
+    unless it comes in its ASCII form."""
+    h = F.regexp_replace(host(url), r"^(?:www\.)+", "")
     labels = F.split(h, r"\.")
     n = F.size(labels)
     last = lambda k: F.array_join(F.slice(labels, F.greatest(n - (k - 1), F.lit(1)), k), ".")
-    ipv4 = h.rlike(r"^[0-9]+(\.[0-9]+){3}$")
-    three = last(2).isin(*TWO_LABEL_SUFFIXES)
-    return F.when(h.isNull() | ipv4 | (n < 2) | (three & (n < 3)), None).when(three, last(3)).otherwise(last(2))
+    known = lambda k: (n >= k) & last(k).isin(*[x for x in SUFFIXES if x.count(".") == k - 1])
+    shaped = (n >= 3) & F.get(labels, n - 2).isin(*REGISTRY_LABELS) & F.get(labels, n - 1).rlike("^[a-z]{2}$")
+    found = F.when(known(3), F.when(n > 3, last(4))).when(known(2), F.when(n > 2, last(3))).when(shaped, last(3)).otherwise(last(2))
+    plain = found.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$")
+    return F.when(h.isNotNull() & (n >= 2) & ~h.rlike(r"^[0-9]+(\.[0-9]+)*$") & plain, found)
 
 
 def subdomain(url: Column) -> Column:

@@ -38,7 +38,7 @@ def multiplier_percent(age: Column) -> Column:
 
 def with_strength(evidence: DataFrame, as_of: Column) -> DataFrame:
     """Adds age_days, bucket and strength = half-up of tier points times the age's multiplier."""
-    points = F.element_at(F.array(*map(F.lit, TIER_POINTS)), F.col("source_tier"))
+    points = F.coalesce(F.get(F.array(*map(F.lit, TIER_POINTS)), F.col("source_tier") - 1), F.lit(0))
     e = evidence.withColumn("age_days", age_days(F.col("source_date"), as_of))
     return e.withColumn("bucket", recency_bucket(F.col("age_days"))).withColumn("strength", half_up_ratio(points * multiplier_percent(F.col("age_days")), F.lit(100)))
 
@@ -53,39 +53,56 @@ def best_items(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("owner_id", "claim").agg(F.min_by(F.struct(*fields), order).alias("e")).select("owner_id", "claim", "e.*")
 
 
-def conflict_pairs(evidence: DataFrame) -> DataFrame:
-    """Distinct unordered pairs of items of one owner that contradict each other; dangling ids are no pair."""
-    e = evidence.where("conflicts_with is not null").select("owner_id", F.col("evidence_id").alias("x"), F.col("conflicts_with").alias("y"))
-    known = evidence.select(F.col("owner_id").alias("_o"), F.col("evidence_id").alias("_e"))
-    both = e.join(known, (F.col("owner_id") == F.col("_o")) & (F.col("y") == F.col("_e")), "left_semi").where("x <> y")
-    return both.select("owner_id", F.least("x", "y").alias("first_id"), F.greatest("x", "y").alias("second_id")).distinct()
-
-
-def quality(evidence: DataFrame, material: list[str], as_of: Column) -> DataFrame:
-    """owner_id, quality and its parts: mean strength of the best items, share of material claims covered,
-    corroborating domains, bonuses and penalties; 0 to 100."""
-    e = with_strength(evidence, as_of).where(F.col("claim").isin(*material))
-    best = best_items(e).groupBy("owner_id").agg(F.sum("strength").alias("s"), F.count("*").alias("claims"))
-    all_items = e.groupBy("owner_id").agg(
-        F.count_distinct("domain").alias("domains"), F.max(F.col("is_official").cast("int")).alias("official"),
-        F.max(F.coalesce(F.col("age_days") > 730, F.lit(False)).cast("int")).alias("stale"), F.min(F.col("inferred").cast("int")).alias("inferred_only"),
-    )
-    pairs = conflict_pairs(evidence).groupBy("owner_id").agg(F.count("*").alias("conflicts"))
-    q = all_items.join(best, "owner_id").join(pairs, "owner_id", "left").fillna(0, ["conflicts"])
-    q = q.withColumn("strength", half_up_ratio(F.col("s"), F.col("claims"))).withColumn("coverage", half_up_ratio(F.col("claims"), F.lit(len(material)), 100))
+def conflict_pairs(evidence: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """Distinct unordered pairs of an item and an id that it contradicts, dangling ids and the item itself included. Items
+    whose claim is among the record's `resolved` claims are settled and make no pair."""
+    e = evidence.where("conflicts_with is not null")
+    if records is not None:
+        settled = records.select(F.col("owner_id").alias("_o"), F.explode("resolved").alias("_c"))
+        e = e.join(settled, (F.col("owner_id") == F.col("_o")) & (F.col("claim") == F.col("_c")), "left_anti")
+    x, y = F.col("evidence_id"), F.col("conflicts_with")
+    return e.select("owner_id", F.least(x, y).alias("first_id"), F.greatest(x, y).alias("second_id")).distinct()
+
+
+def quality(evidence: DataFrame, material: list[str], as_of: Column, records: DataFrame | None = None) -> DataFrame:
+    """owner_id, quality (0 to 100) and what it is made of. records: owner_id, stale, resolved (claims whose conflicts are
+    settled) and unknown_claims, a row for each owner; an owner without items has quality 0. Without it owners are those of items.
+
+    Mean strength of the covered material claims' best items, share of material claims covered, and corroborating domains, weighted;
+    a bonus for any official item of the first tier and for further domains; a penalty if the record is stale or every
+    covered claim's best item is too old, for conflicts, and if any covered claim is only inferred. Domains, official
+    items and conflicts count over all items, not only those of material claims. It is rounded once."""
+    e = with_strength(evidence, as_of)
+    day = F.coalesce(F.unix_date("source_date"), F.lit(-(10**6)))
+    order = F.struct((-F.col("strength")).alias("a"), F.col("source_tier").alias("b"), (-day).alias("c"), F.col("evidence_id").alias("d"))
+    best = F.min_by(F.struct("strength", "age_days"), order)
+    claims = e.where(F.col("claim").isin(*material)).groupBy("owner_id", "claim").agg(best.alias("best"), F.min(F.coalesce("inferred", F.lit(False)).cast("int")).alias("inferred"))
+    old = F.coalesce(F.col("best.age_days") > BUCKETS[-2][0], F.lit(False)).cast("int")
+    covered = claims.groupBy("owner_id").agg(F.sum("best.strength").alias("s"), F.count("*").alias("claims"), F.min(old).alias("old"), F.max("inferred").alias("inferred"))
+    official = F.max(F.coalesce(F.col("is_official") & (F.col("source_tier") == 1), F.lit(False)).cast("int"))
+    items = e.groupBy("owner_id").agg(F.count_distinct("domain").alias("domains"), official.alias("official"))
+    pairs = conflict_pairs(evidence, records).groupBy("owner_id").agg(F.count("*").alias("conflicts"))
+    q = items.withColumn("items", F.lit(1)).join(covered, "owner_id", "left").join(pairs, "owner_id", "left")
+    if records is not None:
+        q = records.select("owner_id", F.coalesce("stale", F.lit(False)).cast("int").alias("stale"), "unknown_claims").join(q, "owner_id", "left")
+    else:
+        q = q.withColumn("stale", F.lit(0)).withColumn("unknown_claims", F.lit(len(material)) - F.coalesce("claims", F.lit(0)))
+    q = q.fillna(0, ["s", "claims", "old", "inferred", "domains", "official", "conflicts", "items"])
+    extra = F.col("official") * OFFICIAL + F.greatest(F.lit(0), F.least(F.lit(DOMAINS_CAP), PER_DOMAIN * (F.col("domains") - 1)))
+    extra = extra + F.greatest("stale", "old") * STALE + F.greatest(F.lit(CONFLICT_FLOOR), F.col("conflicts") * CONFLICT) + F.col("inferred") * INFERRED
     q = q.withColumn("corroboration", clamp(50 * (F.col("domains") - 1), 0, 100))
-    base = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0))
-    q = q.withColumn("base", half_up_ratio(base, F.lit(100)))
-    extra = F.col("official") * OFFICIAL + F.least(F.lit(DOMAINS_CAP), PER_DOMAIN * (F.col("domains") - 1)) + F.col("stale") * STALE
-    extra = extra + F.greatest(F.lit(CONFLICT_FLOOR), F.col("conflicts") * CONFLICT) + F.col("inferred_only") * INFERRED
-    return q.select("owner_id", "claims", "domains", "conflicts", "strength", "coverage", "corroboration", clamp(F.col("base") + extra, 0, 100).cast("int").alias("quality"))
-
-
-def confidence(quality_rows: DataFrame, material: int) -> DataFrame:
-    """Confidence in hundredths: quality x max(50, 100 - 5 per unknown material claim) percent, x 85 percent with conflicts; 5 to 100."""
-    factor = F.greatest(F.lit(50), 100 - 5 * (material - F.col("claims")))
-    conflict = F.when(F.col("conflicts") > 0, 85).otherwise(100)
-    return quality_rows.withColumn("confidence_pct", clamp(half_up_ratio(F.col("quality") * factor * conflict, F.lit(10_000)), 5, 100).cast("int"))
+    c, m = F.greatest("claims", F.lit(1)), len(material)
+    whole = WEIGHTS["strength"] * F.col("s") * m + WEIGHTS["coverage"] * 100 * F.col("claims") * c + (WEIGHTS["corroboration"] * F.col("corroboration") + 100 * extra) * c * m
+    score = F.when(F.col("items") > 0, clamp(half_up_ratio(F.greatest(whole, F.lit(0)), 100 * c * m), 0, 100)).otherwise(0)
+    return q.select("owner_id", "claims", "domains", "conflicts", "stale", "unknown_claims", score.cast("int").alias("quality"))
+
+
+def confidence(quality_rows: DataFrame) -> DataFrame:
+    """Confidence in hundredths: quality x max(50, 100 - 5 per unknown material claim) percent, x 60 percent for a stale
+    record, x 85 percent with conflicts; 5 to 100."""
+    factor = F.greatest(F.lit(50), 100 - 5 * F.col("unknown_claims"))
+    stale, conflict = F.when(F.col("stale") > 0, 60).otherwise(100), F.when(F.col("conflicts") > 0, 85).otherwise(100)
+    return quality_rows.withColumn("confidence_pct", clamp(half_up_ratio(F.col("quality") * factor * stale * conflict, F.lit(1_000_000)), 5, 100).cast("int"))
 
 
 def ranked(df: DataFrame, score: str, *ties: str, by: list[str] | None = None) -> DataFrame:

@@ -35,8 +35,8 @@ def rule_conditions(tolerance_pct: int = 0) -> dict[str, tuple[Column, Column]]:
         "HF-01": (F.col("wanted_category").isNotNull(), F.when(F.col("relation").isNotNull(), F.col("relation").isin("exact", "parent"))),
         "HF-02": (model != "either", flag),
         "HF-03": (F.col("max_moq").isNotNull(), F.when(F.col("moq_unit") == F.col("rfq_unit"), within("moq", "max_moq"))),
-        "HF-04": (F.size("required_certs") > 0, F.when(F.col("certs_verified"), certs)),
-        "HF-05": (F.col("destination").isNotNull(), ~F.array_contains("excluded_markets", F.col("destination"))),
+        "HF-04": ((F.size("required_certs") > 0) & F.coalesce("certs_verified", F.lit(False)), F.when(F.col("certs").isNotNull(), certs)),
+        "HF-05": (F.col("destination").isNotNull() & F.col("excluded_markets").isNotNull(), ~F.array_contains("excluded_markets", F.col("destination"))),
         "HF-06": (F.lit(True), F.coalesce(~F.col("operational_status").isin("closed", "unreachable"), F.lit(True))),
         "HF-07": (F.col("max_lead").isNotNull(), within("lead_days", "max_lead")),
         "HF-08": (F.size("excluded_countries") > 0, F.when(F.col("seller_country").isNotNull(), ~F.array_contains("excluded_countries", F.col("seller_country")))),
@@ -104,10 +104,13 @@ def with_scores(df: DataFrame) -> DataFrame:
     rel, moq, top = F.col("relation"), F.col("moq"), F.col("max_moq")
     flag = F.when(F.col("model") == "oem_odm", F.col("oem_odm")).when(F.col("model") == "private_label", F.col("private_label")).otherwise(F.col("brand_export"))
     product = _ladder(rel.isNotNull(), (rel == "exact", 60), (rel == "parent", 42), (rel == "adjacent", 24), unknown=18)
-    model = _ladder((F.col("model") == "either") | flag.isNotNull(), (F.col("model") == "either", 56), (flag, 60), unknown=18)
+    flags = [F.col(c) for c in ("oem_odm", "private_label", "brand_export")]
+    some = F.array_contains(F.array(*[F.coalesce(f, F.lit(False)) for f in flags]), True)  # for a request that takes either
+    either = (F.col("model") == "either") & some
+    model = _ladder(either | F.when(F.col("model") == "either", ~some & (flags[0] & flags[1] & flags[2]).isNotNull()).otherwise(flag.isNotNull()), (either, 56), ((F.col("model") != "either") & flag, 60), unknown=18)
     size = _ladder(top.isNull() | moq.isNotNull(), (top.isNull(), 44), (moq * 2 <= top, 55), (moq <= top, 47), unknown=17)
     lead = _ladder(F.col("max_lead").isNull() | F.col("lead_days").isNotNull(), (F.col("max_lead").isNull(), 20), (F.col("lead_days") <= F.col("max_lead"), 25), unknown=8)
-    cap = _ladder(F.col("capacity").isNotNull(), (F.col("capacity") >= 2 * F.col("quantity"), 20), (F.col("capacity") >= F.col("quantity"), 16), unknown=6)
+    cap = _ladder(F.col("quantity").isNull() | F.col("capacity").isNotNull(), (F.col("quantity").isNull(), 16), (F.col("capacity") >= 2 * F.col("quantity"), 20), (F.col("capacity") >= F.col("quantity"), 16), unknown=6)
     need, have = F.size("required_certs"), F.size(F.array_intersect("required_certs", "certs"))
     comply = _ladder(F.col("certs").isNotNull(), ((have == need) & F.coalesce(F.col("certs_verified"), F.lit(False)), 55), (have == need, 38), (have * 2 >= need, 35), (have > 0, 20), unknown=17)
     market = _ladder(F.col("seller_region").isNotNull(), (F.col("seller_country") == F.col("destination"), 45), (F.col("seller_region") == F.col("destination_region"), 32), unknown=14, otherwise=22)

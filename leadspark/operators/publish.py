@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Local parts of role mailboxes.
-ROLE_MAILBOXES = ("info", "sales", "contact", "export", "office", "hello", "support", "inquiry", "enquiry", "trade", "partners", "purchasing", "procurement", "marketing", "admin", "cs", "help")
-#: The legal moves between states.
-TRANSITIONS = (("DISCOVERED", "SCORED"), ("SCORED", "QUALIFIED"), ("SCORED", "REJECTED"), ("QUALIFIED", "MATCHED"), ("SCORED", "SCORED"), ("QUALIFIED", "QUALIFIED"))
+#: Local parts of role mailboxes, and domains where anybody can have an address.
+ROLE_MAILBOXES = ("b2b", "brands", "business", "buying", "contact", "distribution", "einkauf", "enquiries", "enquiry", "export", "exports", "hello", "import", "imports", "info", "inquiries", "inquiry", "kaigai", "odm", "oem", "office", "orders", "partner", "partners", "partnership", "partnerships", "procurement", "purchasing", "sales", "sellers", "sourcing", "trade", "vertrieb", "wholesale")
+FREE_MAIL = ("gmail.com", "googlemail.com", "yahoo.com", "hotmail.com", "outlook.com", "live.com", "aol.com", "naver.com", "daum.net", "hanmail.net", "qq.com", "163.com", "126.com")
+#: From each state, the states that a record may be moved to; from others, which the application owns, none.
+TRANSITIONS = {
+    "DISCOVERED": ("VERIFIED", "CLOSED"),
+    "VERIFIED": ("QUALIFIED", "DISCOVERED", "CLOSED"),
+    "QUALIFIED": ("MATCH_CANDIDATE", "READY_FOR_REVIEW", "VERIFIED", "CLOSED"),
+    "MATCH_CANDIDATE": ("READY_FOR_REVIEW", "QUALIFIED", "CLOSED"),
+    "READY_FOR_REVIEW": ("QUALIFIED", "MATCH_CANDIDATE", "CLOSED"),
+    "CLOSED": (),
+}
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 OBFUSCATED = r"(?i)[a-z0-9._+-]+ ?[\[(] ?at ?[\])] ?[a-z0-9-]+ ?[\[(] ?dot ?[\])] ?[a-z]+"
 URL, ISO_DATE = r"https?://[^ \t\n]+", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -29,10 +37,13 @@ def personal_data(text: Column) -> Column:
     return F.array_join(F.array_compact(F.array(F.when(email | encoded, "email"), F.when(hidden, "obfuscated_email"), F.when(phone, "phone"))), ";")
 
 
-def role_mailbox(address: Column, domain: Column) -> Column:
-    """An address of a function, not a person, on the company's own domain."""
-    local, host = F.lower(F.substring_index(address, "@", 1)), F.lower(F.substring_index(address, "@", -1))
-    return local.isin(*ROLE_MAILBOXES) & ((host == domain) | F.endswith(host, F.concat(F.lit("."), domain)))
+def role_address(address: Column, domains: Column) -> Column:
+    """The address in lower case if it is that of a function, not a person, on one of the company's own domains exactly
+    (without www) and that is no free-mail domain; else NULL: what is in doubt is withheld."""
+    plain = F.lower(F.trim(address))
+    host = F.regexp_replace(F.substring_index(plain, "@", -1), r"^(?:www\.)+", "")
+    safe = plain.rlike(f"^{EMAIL}$") & F.substring_index(plain, "@", 1).isin(*ROLE_MAILBOXES) & ~host.isin(*FREE_MAIL) & F.array_contains(domains, host)
+    return F.when(F.coalesce(safe, F.lit(False)), plain)
 
 
 def fold_text(text: Column) -> Column:
@@ -77,9 +88,10 @@ def upsert(existing: DataFrame, incoming: DataFrame, ranks: dict[str, int]) -> D
 
 
 def illegal_moves(moves: DataFrame) -> DataFrame:
-    """Moves (id, from_state, to_state) that no edge allows."""
-    edges = moves.sparkSession.createDataFrame(TRANSITIONS, "f string, t string")
-    return moves.join(F.broadcast(edges), (F.col("from_state") == F.col("f")) & (F.col("to_state") == F.col("t")), "left_anti")
+    """Moves (id, from_state, to_state) that no edge allows. A record without a state may get any, and one may stay."""
+    to = F.col("to_state")
+    allowed = F.coalesce(*[F.when(F.col("from_state") == f, to.isin(*ts) if ts else F.lit(False)) for f, ts in TRANSITIONS.items()], F.lit(False))
+    return moves.where(F.col("from_state").isNotNull() & ~F.col("from_state").eqNullSafe(to) & ~F.coalesce(allowed, F.lit(False)))
 
 
 def duplicate_groups(rows: DataFrame, *keys: str) -> DataFrame:

@@ -36,7 +36,7 @@ def strong(spark, sf):
 
 
 def quality(spark, sf):
-    return ev.quality(P.evidence(spark, sf), P.MATERIAL, as_of())
+    return ev.quality(P.evidence(spark, sf), P.MATERIAL, as_of(), P.owners(spark, sf))
 
 
 # Evidence
@@ -52,15 +52,15 @@ def evidence_best_item(spark, sf):
     return ev.best_items(strong(spark, sf)).select("owner_id", "claim", "evidence_id", "strength", "bucket")
 
 
-@query(O.behind(O.EVIDENCE, "SELECT owner_id, pct AS confidence_pct, CASE WHEN pct >= 75 THEN 'HIGH' WHEN pct >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT owner_id, CAST(greatest(5, least(100, (2 * quality * greatest(50, 100 - 5 * (5 - claims)) * CASE WHEN conflicts > 0 THEN 85 ELSE 100 END + 10000) // 20000)) AS INT) AS pct FROM quality)"))
+@query(O.behind(O.EVIDENCE, "SELECT owner_id, pct AS confidence_pct, CASE WHEN pct >= 75 THEN 'HIGH' WHEN pct >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT owner_id, CAST(greatest(5, least(100, (2 * quality * greatest(50, 100 - 5 * unknown_claims) * CASE WHEN stale THEN 60 ELSE 100 END * CASE WHEN conflicts > 0 THEN 85 ELSE 100 END + 1000000) // 2000000)) AS INT) AS pct FROM quality)"))
 def evidence_confidence(spark, sf):
-    c = ev.confidence(quality(spark, sf), len(P.MATERIAL))
+    c = ev.confidence(quality(spark, sf))
     return c.select("owner_id", "confidence_pct", tristate.confidence_band(F.col("confidence_pct"), 75, 50).alias("band"))
 
 
 @query(O.behind(O.EVIDENCE, "SELECT owner_id, first_id, second_id FROM pairs"))
 def evidence_conflict_pairs(spark, sf):
-    return ev.conflict_pairs(P.evidence(spark, sf))
+    return ev.conflict_pairs(P.evidence(spark, sf), P.owners(spark, sf))
 
 
 @query(O.behind(O.EVIDENCE, "SELECT claim, bucket, count(*) AS n, CAST(max(age_days) AS INT) AS oldest FROM strong GROUP BY 1, 2"))
@@ -205,12 +205,12 @@ def match_topn(spark, sf):
     return matching.top_matches(matching.with_scores(matching.passing(P.candidates(spark, sf)))).select("rfq_id", "seller_id", "base_score", F.col("rank").cast("int").alias("rank"))
 
 
-@query(O.behind(O.CANDIDATES, "SELECT rfq_id, seller_id, component, contribution, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY rfq_id, seller_id ORDER BY contribution DESC, component) AS INT) AS place FROM (SELECT rfq_id, seller_id, unnest(['product_fit', 'model_fit', 'operation_fit']) AS component, CAST(unnest([product_fit * 30, model_fit * 20, operation_fit * 15]) AS INT) AS contribution FROM scored WHERE len(failed) = 0)) WHERE place <= 2"))
+@query(O.behind(O.CANDIDATES, "SELECT rfq_id, seller_id, component, contribution, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY rfq_id, seller_id ORDER BY contribution DESC, component) AS INT) AS place FROM (SELECT rfq_id, seller_id, unnest(['product_fit', 'model_fit', 'operation_fit', 'compliance_fit', 'market_fit', 'evidence_quality']) AS component, CAST(unnest([product_fit * 30, model_fit * 20, operation_fit * 15, compliance_fit * 15, market_fit * 10, eq * 10]) AS INT) AS contribution FROM scored WHERE len(failed) = 0)) WHERE place <= 2"))
 def match_rationale(spark, sf):
     """The two components that contribute most to each passing match, without a shuffle: sorted within the row."""
     df = matching.with_scores(matching.passing(P.candidates(spark, sf)))
     part = lambda c: F.struct((-F.col(c) * matching.WEIGHTS[c]).alias("minus"), F.lit(c).alias("component"))
-    best = F.slice(F.array_sort(F.array(*map(part, ("product_fit", "model_fit", "operation_fit")))), 1, 2)
+    best = F.slice(F.array_sort(F.array(*map(part, matching.WEIGHTS))), 1, 2)
     return df.select("rfq_id", "seller_id", F.posexplode(best).alias("p", "x")).select("rfq_id", "seller_id", "x.component", (-F.col("x.minus")).cast("int").alias("contribution"), (F.col("p") + 1).cast("int").alias("place"))
 
 
@@ -528,12 +528,12 @@ def formula_guard(spark, sf):
     return P.read(spark, sf, "events").select("event_id", names.csv_safe(F.concat(lead, "event_type")).alias("cell"))
 
 
-@query("SELECT c_custkey AS record_id, local_part IN ('info', 'sales', 'export') AND c_custkey % 3 <> 2 AS is_role FROM (SELECT c_custkey, list_value('info', 'jane.doe', 'sales', 'export', 'kim')[c_custkey % 5 + 1] AS local_part FROM customer)")
+@query("SELECT c_custkey AS record_id, CASE WHEN own = host AND own <> 'naver.com' AND list_contains(['info', 'sales', 'export', 'einkauf', 'b2b'], local_part) THEN local_part || '@' || CASE WHEN c_custkey % 2 = 0 THEN 'www.' ELSE '' END || host END AS address FROM (SELECT c_custkey, list_value('info', 'jane.doe', 'sales', 'support', 'export', 'kim', 'einkauf', 'cs', 'b2b')[c_custkey % 9 + 1] AS local_part, list_value('co.example', 'mail.co.example', 'naver.com', 'alias.example')[c_custkey % 4 + 1] AS host, list_value('co.example', 'naver.com', 'alias.example')[c_custkey % 3 + 1] AS own FROM customer)")
 def role_mailbox(spark, sf):
-    key = F.col("c_custkey")
-    local = F.element_at(F.array(*map(F.lit, ("info", "jane.doe", "sales", "export", "kim"))), (key % 5 + 1).cast("int"))
-    host = F.element_at(F.array(*map(F.lit, ("co.example", "mail.co.example", "free.example"))), (key % 3 + 1).cast("int"))
-    return P.read(spark, sf, "customer").select(key.alias("record_id"), publish.role_mailbox(F.concat(local, F.lit("@"), host), F.lit("co.example")).alias("is_role"))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % len(values) + 1).cast("int"))
+    local, host = pick(("info", "jane.doe", "sales", "support", "export", "kim", "einkauf", "cs", "b2b")), pick(("co.example", "mail.co.example", "naver.com", "alias.example"))
+    address = F.concat(F.upper(local), F.lit("@"), F.when(F.col("c_custkey") % 2 == 0, F.lit("www.")).otherwise(F.lit("")), host)
+    return P.read(spark, sf, "customer").select(F.col("c_custkey").alias("record_id"), publish.role_address(address, F.array(pick(("co.example", "naver.com", "alias.example")))).alias("address"))
 
 
 @query("SELECT c_custkey AS record_id, contains(regexp_replace(q, '[^0-9]', '', 'g'), CAST(c_custkey AS VARCHAR)) AS found FROM (SELECT c_custkey, c_name || ' no. ' || (c_custkey // 3) AS q FROM customer)")
@@ -574,10 +574,17 @@ def upsert_outcome(spark, sf):
     return publish.upsert(b, a, {"excluded": 0, "returned": 1})
 
 
-@query("SELECT o_orderkey AS id, 'SCORED' AS from_state, list_value('QUALIFIED', 'REJECTED', 'MATCHED', 'DISCOVERED')[o_orderkey % 4 + 1] AS to_state FROM orders WHERE o_orderkey % 4 >= 2")
+_STATES = ("DISCOVERED", "VERIFIED", "QUALIFIED", "MATCH_CANDIDATE", "READY_FOR_REVIEW", "CLOSED", "CONTACTED")
+
+
+@query("""WITH st AS (SELECT ['DISCOVERED', 'VERIFIED', 'QUALIFIED', 'MATCH_CANDIDATE', 'READY_FOR_REVIEW', 'CLOSED', 'CONTACTED'] AS l),
+edge AS (SELECT unnest([{'f': 'DISCOVERED', 't': ['VERIFIED', 'CLOSED']}, {'f': 'VERIFIED', 't': ['QUALIFIED', 'DISCOVERED', 'CLOSED']}, {'f': 'QUALIFIED', 't': ['MATCH_CANDIDATE', 'READY_FOR_REVIEW', 'VERIFIED', 'CLOSED']}, {'f': 'MATCH_CANDIDATE', 't': ['READY_FOR_REVIEW', 'QUALIFIED', 'CLOSED']}, {'f': 'READY_FOR_REVIEW', 't': ['QUALIFIED', 'MATCH_CANDIDATE', 'CLOSED']}], recursive := true)),
+m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 < 7 THEN l[o_orderkey % 8 + 1] END AS from_state, l[(o_orderkey // 8) % 7 + 1] AS to_state FROM orders, st)
+SELECT id, from_state, to_state FROM m WHERE from_state IS NOT NULL AND from_state <> to_state AND NOT EXISTS (SELECT 1 FROM edge WHERE f = from_state AND list_contains(t, to_state))""")
 def state_violations(spark, sf):
-    to = F.element_at(F.array(*map(F.lit, ("QUALIFIED", "REJECTED", "MATCHED", "DISCOVERED"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return publish.illegal_moves(P.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("SCORED").alias("from_state"), to.alias("to_state")))
+    states, key = F.array(*map(F.lit, _STATES)), F.col("o_orderkey")
+    start, to = F.when(key % 8 < 7, F.get(states, (key % 8).cast("int"))), F.get(states, (F.floor(key / 8) % 7).cast("int"))
+    return publish.illegal_moves(P.read(spark, sf, "orders").select(key.alias("id"), start.alias("from_state"), to.alias("to_state")))
 
 
 @query(O.behind(O.EVIDENCE, "SELECT owner_id, evidence_id, conflicts_with FROM evidence e WHERE conflicts_with IS NOT NULL AND NOT EXISTS (SELECT 1 FROM evidence x WHERE x.owner_id = e.owner_id AND x.evidence_id = e.conflicts_with)"))

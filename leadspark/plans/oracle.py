@@ -8,13 +8,16 @@ strong AS (SELECT *, CASE WHEN age_days IS NULL THEN 'undated' WHEN age_days <=
   (2 * list_value(100, 82, 64, 46, 20)[source_tier] * CASE WHEN age_days IS NULL THEN 92 WHEN age_days <= 90 THEN 100 WHEN age_days <= 365 THEN 92 WHEN age_days <= 730 THEN 80 ELSE 60 END + 100) // 200 AS strength
   FROM (SELECT *, greatest(date_diff('day', source_date, DATE '2024-02-15'), 0) AS age_days FROM evidence WHERE source_date IS NOT NULL UNION ALL BY NAME SELECT *, NULL AS age_days FROM evidence WHERE source_date IS NULL)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, claim ORDER BY strength DESC, source_tier, source_date DESC NULLS LAST, evidence_id) AS rn FROM strong) WHERE rn = 1),
-pairs AS (SELECT DISTINCT a.owner_id, least(a.evidence_id, b.evidence_id) AS first_id, greatest(a.evidence_id, b.evidence_id) AS second_id FROM evidence a JOIN evidence b ON a.owner_id = b.owner_id AND a.conflicts_with = b.evidence_id AND a.evidence_id <> b.evidence_id),
-qa AS (SELECT owner_id, count(DISTINCT domain) AS domains, max(is_official::INT) AS official, max(coalesce(age_days > 730, false)::INT) AS old, min(inferred::INT) AS inferred_only FROM strong WHERE claim IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY 1),
-qb AS (SELECT owner_id, sum(strength)::BIGINT AS s, count(*) AS claims FROM best WHERE claim IN ('click', 'error', 'purchase', 'signup', 'view') GROUP BY 1),
-qc AS (SELECT owner_id, count(*) AS conflicts FROM pairs GROUP BY 1),
-qd AS (SELECT owner_id, claims, domains, coalesce(conflicts, 0) AS conflicts, (2 * s + claims) // (2 * claims) AS strength, (200 * claims + 5) // 10 AS coverage, least(100, 50 * (domains - 1)) AS corroboration, official, old, inferred_only FROM qa JOIN qb USING (owner_id) LEFT JOIN qc USING (owner_id)),
-quality AS (SELECT owner_id, claims, domains, conflicts, strength, coverage, corroboration, CAST(greatest(0, least(100, (2 * (strength * 50 + coverage * 35 + corroboration * 15) + 100) // 200
-  + official * 10 + least(15, 7 * (domains - 1)) - old * 25 + greatest(-20, -10 * conflicts) - inferred_only * 8)) AS INT) AS quality FROM qd)"""
+owners AS (SELECT owner_id, owner_id % 7 = 0 AS stale, CASE WHEN owner_id % 5 = 0 THEN ['click'] ELSE [] END AS resolved, CAST(owner_id % 4 AS INT) AS unknown_claims FROM (SELECT user_id AS owner_id FROM events WHERE user_id IS NOT NULL UNION SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0)),
+pairs AS (SELECT DISTINCT owner_id, least(evidence_id, conflicts_with) AS first_id, greatest(evidence_id, conflicts_with) AS second_id FROM evidence JOIN owners USING (owner_id) WHERE conflicts_with IS NOT NULL AND NOT list_contains(resolved, claim)),
+material AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS claim),
+covered AS (SELECT owner_id, avg(b.strength::DOUBLE) AS strength, 100.0 * count(*) / 5 AS coverage, bool_and(coalesce(b.age_days > 730, false)) AS old, count(*) AS claims,
+  bool_or(NOT EXISTS (SELECT 1 FROM evidence x WHERE x.owner_id = b.owner_id AND x.claim = b.claim AND NOT x.inferred)) AS inferred FROM best b SEMI JOIN material USING (claim) GROUP BY owner_id),
+allitems AS (SELECT owner_id, count(DISTINCT domain) AS domains, bool_or(is_official AND source_tier = 1) AS official FROM evidence GROUP BY owner_id),
+quality AS (SELECT owner_id, coalesce(claims, 0) AS claims, coalesce(conflicts, 0) AS conflicts, stale, unknown_claims, CAST(CASE WHEN domains IS NULL THEN 0 ELSE greatest(0, least(100, floor(round(
+  0.5 * coalesce(strength, 0) + 0.35 * coalesce(coverage, 0) + 0.15 * least(100, 50 * (domains - 1)) + CASE WHEN official THEN 10 ELSE 0 END + least(15, 7 * (domains - 1)) - CASE WHEN stale OR coalesce(old, false) THEN 25 ELSE 0 END
+  + greatest(-20, -10 * coalesce(conflicts, 0)) - CASE WHEN inferred THEN 8 ELSE 0 END, 9) + 0.5))) END AS INT) AS quality
+  FROM owners LEFT JOIN allitems USING (owner_id) LEFT JOIN covered USING (owner_id) LEFT JOIN (SELECT owner_id, count(*) AS conflicts FROM pairs GROUP BY 1) USING (owner_id))"""
 
 SELLERS = """
 sellers AS (SELECT s_suppkey AS seller_id, 's' || (s_suppkey % 40) || '.example' AS seller_domain, n_name AS seller_country, r_name AS seller_region,
@@ -48,7 +51,7 @@ rules AS (SELECT *,
   CASE WHEN wanted_category IS NULL THEN 'na' WHEN relation IS NULL THEN 'skip' WHEN relation IN ('exact', 'parent') THEN 'pass' ELSE 'fail' END AS hf1,
   CASE WHEN model = 'either' THEN 'na' WHEN has_model IS NULL THEN 'skip' WHEN has_model THEN 'pass' ELSE 'fail' END AS hf2,
   CASE WHEN max_moq IS NULL THEN 'na' WHEN moq_unit <> rfq_unit OR moq IS NULL THEN 'skip' WHEN moq <= max_moq THEN 'pass' ELSE 'fail' END AS hf3,
-  CASE WHEN len(required_certs) = 0 THEN 'na' WHEN certs_verified IS NULL OR NOT certs_verified OR certs IS NULL THEN 'skip' WHEN list_has_all(certs, required_certs) THEN 'pass' ELSE 'fail' END AS hf4,
+  CASE WHEN len(required_certs) = 0 OR NOT coalesce(certs_verified, false) THEN 'na' WHEN certs IS NULL THEN 'skip' WHEN list_has_all(certs, required_certs) THEN 'pass' ELSE 'fail' END AS hf4,
   CASE WHEN destination IS NULL THEN 'na' WHEN list_contains(excluded_markets, destination) THEN 'fail' ELSE 'pass' END AS hf5,
   CASE WHEN coalesce(operational_status, '') IN ('closed', 'unreachable') THEN 'fail' ELSE 'pass' END AS hf6,
   CASE WHEN max_lead IS NULL THEN 'na' WHEN lead_days IS NULL THEN 'skip' WHEN lead_days <= max_lead THEN 'pass' ELSE 'fail' END AS hf7,
@@ -56,9 +59,9 @@ rules AS (SELECT *,
 failing AS (SELECT *, list_filter([CASE WHEN hf1 = 'fail' THEN 'HF-01' END, CASE WHEN hf2 = 'fail' THEN 'HF-02' END, CASE WHEN hf3 = 'fail' THEN 'HF-03' END, CASE WHEN hf4 = 'fail' THEN 'HF-04' END,
   CASE WHEN hf5 = 'fail' THEN 'HF-05' END, CASE WHEN hf6 = 'fail' THEN 'HF-06' END, CASE WHEN hf7 = 'fail' THEN 'HF-07' END, CASE WHEN hf8 = 'fail' THEN 'HF-08' END], lambda x: x IS NOT NULL) AS failed FROM rules),
 parts AS (SELECT *, CASE relation WHEN 'exact' THEN 60 WHEN 'parent' THEN 42 WHEN 'adjacent' THEN 24 WHEN 'none' THEN 0 ELSE 18 END AS pf,
-  CASE WHEN model = 'either' THEN 56 WHEN has_model IS NULL THEN 18 WHEN has_model THEN 60 ELSE 0 END AS mf,
+  CASE WHEN model = 'either' THEN CASE WHEN coalesce(oem_odm, false) OR coalesce(private_label, false) OR coalesce(brand_export, false) THEN 56 WHEN oem_odm IS NULL OR private_label IS NULL OR brand_export IS NULL THEN 18 ELSE 0 END WHEN has_model IS NULL THEN 18 WHEN has_model THEN 60 ELSE 0 END AS mf,
   CASE WHEN max_moq IS NULL THEN 44 WHEN moq IS NULL THEN 17 WHEN moq * 2 <= max_moq THEN 55 WHEN moq <= max_moq THEN 47 ELSE 0 END + CASE WHEN max_lead IS NULL THEN 20 WHEN lead_days IS NULL THEN 8 WHEN lead_days <= max_lead THEN 25 ELSE 0 END
-  + CASE WHEN capacity IS NULL THEN 6 WHEN capacity >= 2 * quantity THEN 20 WHEN capacity >= quantity THEN 16 ELSE 0 END AS opf,
+  + CASE WHEN quantity IS NULL THEN 16 WHEN capacity IS NULL THEN 6 WHEN capacity >= 2 * quantity THEN 20 WHEN capacity >= quantity THEN 16 ELSE 0 END AS opf,
   len(required_certs) AS need, len(list_intersect(required_certs, certs)) AS have FROM failing),
 comp AS (SELECT *, (200 * pf + 60) // 120 AS product_fit, (200 * mf + 60) // 120 AS model_fit, (200 * opf + 100) // 200 AS operation_fit,
   (200 * CASE WHEN certs IS NULL THEN 17 WHEN have = need AND coalesce(certs_verified, false) THEN 55 WHEN have = need THEN 38 WHEN have * 2 >= need THEN 35 WHEN have > 0 THEN 20 ELSE 0 END + 55) // 110 AS compliance_fit,

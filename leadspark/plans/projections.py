@@ -27,6 +27,13 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def owners(spark: SparkSession, sf: str) -> DataFrame:
+    """Records behind the evidence: every user, and some customers, of whom most have no item."""
+    ids = read(spark, sf, "events").where("user_id is not null").select(F.col("user_id").alias("owner_id")).union(read(spark, sf, "customer").where("c_custkey % 50 = 0").select("c_custkey")).distinct()
+    k = F.col("owner_id")
+    return ids.select("owner_id", (k % 7 == 0).alias("stale"), F.when(k % 5 == 0, F.array(F.lit("click"))).otherwise(F.array().cast("array<string>")).alias("resolved"), (k % 4).cast("int").alias("unknown_claims"))
+
+
 def sellers(spark: SparkSession, sf: str) -> DataFrame:
     s, n, r = read(spark, sf, "supplier"), read(spark, sf, "nation"), read(spark, sf, "region")
     place = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "left")
@@ -75,7 +82,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     from leadspark.operators.evidence import quality
     from leadspark.operators.matching import category_relation
 
-    q = quality(evidence(spark, sf), MATERIAL, F.lit(AS_OF).cast("date")).select(F.col("owner_id").alias("_owner"), F.col("quality").alias("evidence_quality"))
+    q = quality(evidence(spark, sf), MATERIAL, F.lit(AS_OF).cast("date"), owners(spark, sf)).select(F.col("owner_id").alias("_owner"), F.col("quality").alias("evidence_quality"))
     s = sellers(spark, sf).join(q, F.col("seller_id") == F.col("_owner"), "left").drop("_owner")
     j = rfqs(spark, sf).join(offers(spark, sf), "part_id").join(s, "seller_id")
     return j.withColumn("relation", category_relation(F.col("wanted_category"), F.col("category"), PARENTS, ADJACENT))
@@ -123,7 +130,7 @@ def buyers(spark: SparkSession, sf: str) -> DataFrame:
     from leadspark.operators.evidence import quality
 
     c, n = read(spark, sf, "customer"), read(spark, sf, "nation")
-    q = quality(evidence(spark, sf), MATERIAL, F.lit(AS_OF).cast("date")).select(F.col("owner_id").alias("_owner"), F.col("quality").alias("evidence_quality"))
+    q = quality(evidence(spark, sf), MATERIAL, F.lit(AS_OF).cast("date"), owners(spark, sf)).select(F.col("owner_id").alias("_owner"), F.col("quality").alias("evidence_quality"))
     c = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey, "left").join(q, c.c_custkey == F.col("_owner"), "left")  # 25 nations
     k = F.col("c_custkey")
     pick = lambda values, m: F.element_at(F.array(*map(F.lit, values)), (k % m + 1).cast("int"))

@@ -24,10 +24,12 @@ REVIEW_COLUMNS = [c.split()[0] for c in REVIEW.split(", ")]
 
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON documents of the form {records: [...], as_of}; one row a record with its document and place."""
+    """Records of JSON documents of the form {records: [...], as_of}; one row a record with its document and place. A
+    document that can't be read, or holds no records, is one row with `_corrupt_record`, its text, and no input_index, so that none is lost."""
     docs = spark.read.schema(ENVELOPE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     docs = docs.withColumn("document", F.input_file_name())
-    return docs.select("document", "as_of", F.posexplode("records").alias("input_index", "r")).select("document", "as_of", F.col("input_index").cast("long").alias("input_index"), "r.*")
+    rows = docs.select("document", "as_of", "_corrupt_record", F.posexplode_outer("records").alias("input_index", "r"))
+    return rows.select("document", "as_of", "_corrupt_record", F.col("input_index").cast("long").alias("input_index"), "r.*")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -77,18 +79,26 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 def publish(rows: DataFrame, path: str, violations: DataFrame | None = None) -> bool:
     """Write to a staging folder beside the path and move it there only if no violation is found: what is invalid
-    never stands at the path. Rename is within one file system."""
+    never stands at the path. What stood there is moved aside first and deleted last, and moved back if the new can't
+    come, so that a failure never loses it. Rename is within one file system."""
     if violations is not None and not violations.isEmpty():
         return False
-    spark = rows.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    spark, mark = rows.sparkSession, uuid.uuid4().hex
+    staging, aside = f"{path.rstrip('/')}.staging-{mark}", f"{path.rstrip('/')}.old-{mark}"
     rows.write.parquet(staging)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = at(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
-    return bool(fs.rename(jvm.org.apache.hadoop.fs.Path(staging), target))
+    stood = fs.exists(target)
+    if stood and not fs.rename(target, at(aside)):
+        return False
+    if not fs.rename(at(staging), target):
+        if stood:
+            fs.rename(at(aside), target)
+        return False
+    if stood:
+        fs.delete(at(aside), True)
+    return True
 
 
 def merge(existing: DataFrame, incoming: DataFrame, ranks: dict[str, int]) -> tuple[DataFrame, DataFrame]:

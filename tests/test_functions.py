@@ -38,7 +38,7 @@ def test_urls(spark):
     assert column(spark, ["https://m.mall.com/brand/p"], lambda u: urls.site_root(u, ("mall.com",))) == ["https://m.mall.com/brand/"]
 
 
-@pytest.mark.parametrize(("name", "folded"), [("Acme Trading Co., Ltd.", "acme"), ("PT Maju Jaya", "maju jaya"), ("ＡＣＭＥ　GmbH", "acme"), ("(주)한국 화장품", "한국 화장품"), ("O'Neil & Sons Inc", "oneil and sons"), ("LLC", "llc"), ("", None), (None, None)])
+@pytest.mark.parametrize(("name", "folded"), [("Acme Trading LLC", "acme"), ("PT Maju Jaya", "maju jaya"), ("ＡＣＭＥ　GmbH", "acme"), ("(주)한국 화장품", "한국 화장품"), ("O'Neil & Sons Inc", "o neil sons"), ("LLC", None), ("The ABC Beauty Co., Ltd.", "abc beauty"), ("ABC Beauty FZ-LLC", "abc beauty"), ("Aurora Trading", "aurora trading"), ("Aurora Group", "aurora group"), ("Beauty PT", "beauty pt"), ("Tic Beauty Studio", "tic beauty studio"), ("ABC Kozmetik San. ve Tic. Ltd. Şti.", "abc kozmetik"), ("ABC KOZMETİK SANAYİ VE TİCARET ANONİM ŞİRKETİ", "abc kozmetik"), ("주식회사한빛코스메틱", "한빛코스메틱"), ("한빛코스메틱주식회사", "한빛코스메틱"), ("LLP Cosmetics", "llp cosmetics"), ("", None), (None, None)])
 def test_names(name, folded):
     assert names.fold_name(name) == folded
 
@@ -80,11 +80,20 @@ def test_auc_against_pairs(spark):
     assert calibrate.auc(df).first().auc_bp == round(u / 9 * 10_000)
 
 
+def test_domains_that_strangers_share_are_no_key(spark):
+    given = ["a.com.pk", "b.com.pk", "shop.co.il", "x.co.il/", "smartstore.naver.com/brand", "shop1.cafe24.com", "cafe24.com", "https://www.www.example.com", "web.de", "a.web.de", "https://xn--hy1b45cw6b22g85n.kr/", "not a url", "-x.com"]
+    assert column(spark, given, urls.canonical_domain) == ["a.com.pk", "b.com.pk", "shop.co.il", "x.co.il", None, "shop1.cafe24.com", None, "example.com", "web.de", "a.web.de", "xn--hy1b45cw6b22g85n.kr", None, None]
+
+
 def test_conflicts_and_quality(spark):
     d = dt.date(2024, 1, 1)
     rows = [(1, 1, "view", 1, d, "a", True, False, False, 2), (1, 2, "view", 3, None, "b", False, False, False, 1), (1, 3, "click", 5, d, "a", False, False, False, 99)]
     df = spark.createDataFrame(rows, "owner_id long, evidence_id long, claim string, source_tier int, source_date date, domain string, is_official boolean, inferred boolean, stale boolean, conflicts_with long")
-    assert evidence.conflict_pairs(df).collect() == [(1, 1, 2)]
-    q = evidence.quality(df, ["view", "click"], F.lit("2024-02-01").cast("date")).first()
-    # strengths 100 and 20, mean 60; both claims; two domains: 50; +10 official, +7, -10 conflict
-    assert (q.strength, q.coverage, q.corroboration, q.quality) == (60, 100, 50, 80)
+    assert sorted(evidence.conflict_pairs(df).collect()) == [(1, 1, 2), (1, 3, 99)]
+    records = spark.createDataFrame([(1, False, ["click"], 0), (2, True, [], 4)], "owner_id long, stale boolean, resolved array<string>, unknown_claims int")
+    assert evidence.conflict_pairs(df, records).collect() == [(1, 1, 2)]
+    rows = {r.owner_id: r for r in evidence.quality(df, ["view", "click"], F.lit("2024-02-01").cast("date"), records).collect()}
+    # strengths 100 and 20, mean 60; both claims; two domains: 50; +10 official, +7, -10 conflict: 30 + 35 + 7.5 + 7 = 79.5
+    assert rows[1].quality == 80 and rows[2].quality == 0
+    pct = {r.owner_id: r.confidence_pct for r in evidence.confidence(evidence.quality(df, ["view", "click"], F.lit("2024-02-01").cast("date"), records)).collect()}
+    assert pct == {1: 68, 2: 5}  # 80 x 0.85; the least
