@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -21,3 +22,18 @@ def ship(spark: SparkSession) -> None:
             z.write(source, source.relative_to(root.parent))
     sc.addPyFile(str(archive))
     sc._leadspark_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder of spark.checkpoint.dir. Where that is unset, a temporary one on a local master; on
+    any other, executors would each write to a disk of their own, so that is an error."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            path = f"file://{tempfile.mkdtemp(prefix='leadspark-')}"
+        sc.setCheckpointDir(path)
+    return df.checkpoint()

@@ -66,7 +66,7 @@ COUNTRY_SPELLINGS = {
     "HK": ("Hong Kong", "Hong Kong SAR", "홍콩"), "IE": ("Republic of Ireland",), "IT": ("Italia",), "JP": ("Nippon",), "KG": ("Kyrgyz Republic",), "KP": ("DPRK", "Democratic People's Republic of Korea", "북한", "조선민주주의인민공화국"),
     "KR": ("Korea", "Republic of Korea", "Korea, Republic of", "ROK", "한국", "남한"), "LA": ("Lao PDR",), "MK": ("Macedonia",), "MM": ("Myanmar", "Burma"), "MO": ("Macau", "Macao", "마카오"), "NL": ("Holland",),
     "PS": ("Palestine", "State of Palestine", "팔레스타인"), "RU": ("Russian Federation",), "SA": ("KSA", "Kingdom of Saudi Arabia", "사우디"), "TL": ("East Timor",), "TR": ("Turkey", "Turkiye", "터키", "튀르키예"),
-    "US": ("United States of America", "USA"), "VN": ("Viet Nam",), "ZA": ("남아공",),
+    "US": ("United States of America", "USA"), "VN": ("Viet Nam",), "ZA": ("남아프리카공화국", "남아공"),
 }
 #: Names that mean more than one place, and so none.
 AMBIGUOUS = ("georgia", "america")

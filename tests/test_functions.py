@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,54 @@ def test_constrained_groups(spark):
         assert got[1] == got[5] == got[2] == 1 and got[3] != 1 and got[4] != 1 and got[6] == 6
 
 
+def _by_pairs(rows):
+    """Roots of (id, name, domain, country, subdomain) by walking all pairs, as plainly as it can be said."""
+    rows = sorted(rows)
+    root = {r[0]: r[0] for r in rows}
+
+    def unite(a, b):
+        a, b = root[a], root[b]
+        for k in root:
+            if root[k] in (a, b):
+                root[k] = min(a, b)
+
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if a[2] and a[2] == b[2]:
+                apart = a[4] and b[4] and a[4] != b[4] and a[1] and b[1] and a[1] not in b[1] and b[1] not in a[1]
+                if not apart:
+                    unite(a[0], b[0])
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if not a[1] or a[1] != b[1] or (a[2] and b[2]) or (a[3] and b[3] and a[3] != b[3]):
+                continue
+            both = [r for r in rows if root[r[0]] in (root[a[0]], root[b[0]])]
+            if len({r[2] for r in both if r[2]}) <= 1 and len({r[3] for r in both if r[3]}) <= 1:
+                unite(a[0], b[0])
+    return root
+
+
+RECORDS = "record_id long, name_key string, domain string, country string, subdomain string"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_constrained_groups_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    names_ = ["ab", "abc", "b", "xy", None, ""]
+    rows = [(k, rng.choice(names_), rng.choice([None, None, "d1.x", "d2.x", "d3.x", "d4.x", ""]), rng.choice([None, "KR", "KR", "US"]), rng.choice([None, "", "s1", "s2", "s3", "s4"]) if rng.random() < 0.4 else f"s{k % 6}") for k in rng.sample(range(1000), 40)]
+    got = dict(map(tuple, resolve.constrained_groups(spark.createDataFrame(rows, RECORDS).repartition(3)).collect()))
+    assert got == _by_pairs(rows)
+    plain = [(*r[:4], None) for r in rows]
+    assert dict(map(tuple, resolve.constrained_groups(spark.createDataFrame(rows, RECORDS).drop("subdomain")).collect())) == _by_pairs(plain)
+
+
+def test_links_of_every_name_and_tenants_apart(spark):
+    rows = [(1, "a", "d1.x", None, None), (2, "b", "d1.x", None, None), (3, "b", None, None, None), (4, "one", "host.x", None, "p"), (5, "two", "host.x", None, "q"), (6, "onetwo", "host.x", None, "q"), (7, "three", "host.x", None, "r"), (8, None, None, None, None)]
+    got = dict(map(tuple, resolve.constrained_groups(spark.createDataFrame(rows, RECORDS)).collect()))
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8}
+    assert resolve.constrained_groups(spark.createDataFrame([], RECORDS)).collect() == []
+
+
 def test_auc_against_pairs(spark):
     rows = [(s, v) for s, v in zip([10, 20, 20, 30, 40, 40], ["reject", "accept", "reject", "accept", "accept", "reject"], strict=True)]
     df = spark.createDataFrame(rows, "score int, verdict string")

@@ -39,7 +39,7 @@ def test_countries(spark):
 def test_every_named_country_has_its_names(spark):
     names, codes = V._countries(spark)
     assert set(names.values()) == set(V.NAMED.split()) and len(codes) >= 249
-    assert {"myanmar", "hongkong", "macau", "러시아", "독일", "프랑스", "사우디아라비아", "이집트", "체코", "멕시코", "캐나다"} <= set(names)
+    assert {"myanmar", "hongkong", "macau", "러시아", "독일", "프랑스", "사우디아라비아", "이집트", "체코", "멕시코", "캐나다", "남아프리카공화국"} <= set(names)
 
 
 @pytest.mark.parametrize(("token", "want"), [("iso 22716", "ISO22716"), ("GMP", "GMP_CLAIMED"), ("c-GMP", "CGMP"), ("할랄", "HALAL"), ("Leaping Bunny", "CRUELTY_FREE"), ("My own / mark", "MY_OWN_MARK"), ("", ""), (None, "")])
