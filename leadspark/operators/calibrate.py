@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadspark.cluster import cut
 from leadspark.functions.names import blind_key
 from leadspark.functions.numeric import rate
 
@@ -84,3 +85,46 @@ def run_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     )
     sides = lambda x, y: F.array_join(F.array_sort(F.array_except(F.coalesce(F.col(x), F.array().cast("array<string>")), F.coalesce(F.col(y), F.array().cast("array<string>")))), ";")
     return j.withColumn("change", change).withColumn("delta", F.col("score_after") - F.col("score_before")).withColumn("rules_added", sides("rules_after", "rules_before")).withColumn("rules_removed", sides("rules_before", "rules_after"))
+
+
+def pair_runs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """before_id, id, matched_by of the records of two runs with id and merged_from (array). Equal ids pair; then each later
+    record, in order of ids, takes the smallest open earlier id that it absorbed; then the other way round.
+
+    Taking turns in one order has one stable outcome, so all choose at once and who comes second to an id loses it, until
+    none does; each round drops links and is checkpointed."""
+    b, a = (df.where("id is not null").select("id", "merged_from") for df in (before, after))
+    same = b.select("id").join(a.select("id"), "id").select(F.col("id").alias("before_id"), "id", F.lit("id").alias("matched_by"))
+
+    def absorbed(hosts: DataFrame, parts: DataFrame) -> DataFrame:
+        links = hosts.select(F.col("id").alias("host"), F.explode("merged_from").alias("part")).distinct()
+        links = cut(links.join(parts.select(F.col("id").alias("part")), "part", "left_semi"))
+        while True:
+            wish = links.groupBy("host").agg(F.min("part").alias("part"))
+            held = wish.groupBy("part").agg(F.min("host").alias("holder"))
+            left = cut(links.join(held, "part", "left").where("holder is null or host <= holder").select("host", "part"))
+            if left.count() == links.count():
+                return wish
+            links = left
+
+    open_b, open_a = b.join(a.select("id"), "id", "left_anti"), a.join(b.select("id"), "id", "left_anti")
+    first = absorbed(open_a, open_b)
+    second = absorbed(open_b.join(first, open_b.id == first.part, "left_anti"), open_a.join(first, open_a.id == first.host, "left_anti"))
+    merged = first.select(F.col("part").alias("before_id"), F.col("host").alias("id")).union(second.select("host", "part"))
+    return same.union(merged.select("before_id", "id", F.lit("merged_from").alias("matched_by")))
+
+
+def dimension_changes(pairs: DataFrame) -> DataFrame:
+    """id, dimension, before, after, delta of what differs in the maps dims_before and dims_after; NULL is absent."""
+    maps = [F.coalesce(c, F.create_map().cast("map<string,int>")) for c in ("dims_before", "dims_after")]
+    names = F.array_union(*[F.map_keys(m) for m in maps])
+    long = pairs.select("id", *[m.alias(c) for m, c in zip(maps, ("b", "a"), strict=True)], F.explode(names).alias("dimension"))
+    long = long.select("id", "dimension", *[F.try_element_at(m, F.col("dimension")).alias(c) for m, c in (("b", "before"), ("a", "after"))])
+    return long.where("not (before <=> after)").withColumn("delta", F.col("after") - F.col("before"))
+
+
+def missing_changes(pairs: DataFrame) -> DataFrame:
+    """id, added, removed of the labels missing_before and missing_after, in their own order; no row where nothing
+    changed or a side has no list."""
+    d = pairs.select("id", F.array_except("missing_after", "missing_before").alias("added"), F.array_except("missing_before", "missing_after").alias("removed"))
+    return d.where("size(added) > 0 or size(removed) > 0")

@@ -111,3 +111,10 @@ def readiness(rfqs: DataFrame, fields: list[str]) -> DataFrame:
     filled = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
     gaps = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in fields]))), ";")
     return rfqs.select("rfq_id", filled.cast("int").alias("filled"), F.lit(len(fields)).alias("of"), gaps.alias("missing"))
+
+
+def held_quotes(quotes: DataFrame, messages: DataFrame) -> DataFrame:
+    """conv_id, turn, quote of the quotes (conv_id, quote; folded) that stand in a message (conv_id, turn, t; folded) of
+    the same conversation. An empty quote proves nothing and is in none."""
+    q = quotes.where("quote <> ''")
+    return q.join(messages, "conv_id").where(F.contains("t", "quote")).select("conv_id", "turn", "quote")

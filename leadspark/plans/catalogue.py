@@ -12,20 +12,8 @@ from leadspark.operators import buyer, calibrate, matching, publish, resolve, sc
 from leadspark.operators import evidence as ev
 from leadspark.plans import oracle as O
 from leadspark.plans import projections as P
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from leadspark.plans import records  # noqa: F401 registers its queries
+from leadspark.plans.registry import QUERIES, SQL, query
 
 def as_of():
     return F.lit(P.AS_OF).cast("date")
@@ -151,7 +139,7 @@ def _rule_query(k: int, name: str):
         out = matching.rule_outcomes()[f"HF-0{k}"]
         return P.candidates(spark, sf).groupBy("model", F.coalesce("destination", F.lit("?")).alias("destination"), out.alias("outcome")).agg(F.count("*").alias("n"))
 
-    for table in (_QUERIES, _SQL):
+    for table in (QUERIES, SQL):
         table[f"hf_{name}"] = table.pop("rule")
 
 
@@ -293,7 +281,7 @@ def _threshold_query(name: str, rounding: str, add: int):
         scores = qualification_score(spark, sf).select(F.col("qualification_score").alias("score"))
         return scoring.percentile_threshold(scores, 75, rounding)
 
-    for table in (_QUERIES, _SQL):
+    for table in (QUERIES, SQL):
         table[name] = table.pop("threshold")
 
 
@@ -547,12 +535,6 @@ def message_digest(spark, sf):
     return P.read(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.char_length("text").alias("n_chars"))
 
 
-@query("SELECT c.conv_id, count(*) AS turns, count(DISTINCT role) AS roles, count(*) FILTER (contains(trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')), 'the ')) AS quoting FROM conversations c GROUP BY 1")
-def quote_containment(spark, sf):
-    c = P.read(spark, sf, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_distinct("role").alias("roles"), F.count_if(publish.fold_text(F.col("text")).contains("the ")).alias("quoting"))
-
-
 @query(O.behind(O.SELLERS, "SELECT seller_id, CASE WHEN company_type = 'distributor' THEN 'not_applicable' WHEN coalesce(operational_status = 'closed', false) THEN 'withheld' WHEN certs IS NULL THEN 'unknown' WHEN len(certs) = 0 THEN 'none' ELSE array_to_string(certs, '; ') END AS cell FROM sellers"))
 def export_cells(spark, sf):
     never = lambda c: F.coalesce(c, F.lit(False))
@@ -606,11 +588,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 
