@@ -97,25 +97,46 @@ def _ladder(known: Column, *steps: tuple[Column, int], unknown: int, otherwise:
 WEIGHTS = {"product_fit": 30, "model_fit": 20, "operation_fit": 15, "compliance_fit": 15, "market_fit": 10, "evidence_quality": 10}
 
 
-def with_scores(df: DataFrame) -> DataFrame:
+#: Points of the seller's own line of trade, and certificates of a quality system.
+COMPANY_POINTS = {"oem_odm": 20, "manufacturer": 20, "brand": 8, "distributor": 4, "other": 2}
+QUALITY_CERTS = ("ISO22716", "CGMP")
+OTHER_QUALITY_CERTS = ("ISO9001", "ISO14001", "GMP_KOREA", "COSMOS", "ECOCERT")
+
+
+def with_scores(df: DataFrame, tolerance_pct: int = 0) -> DataFrame:
     """Component scores (0 to 100), contributions in hundredths, and base_score, their unrounded sum rounded once.
 
-    A ladder's unknown step is the half-up of 30 percent of its best."""
-    rel, moq, top = F.col("relation"), F.col("moq"), F.col("max_moq")
-    flag = F.when(F.col("model") == "oem_odm", F.col("oem_odm")).when(F.col("model") == "private_label", F.col("private_label")).otherwise(F.col("brand_export"))
-    product = _ladder(rel.isNotNull(), (rel == "exact", 60), (rel == "parent", 42), (rel == "adjacent", 24), unknown=18)
+    A component is its criteria's points over the most points of those that apply: without required certificates only
+    the quality system counts. A ladder's unknown step is the half-up of 30 percent of its best, and comes before all
+    others, so an unknown quantity is unknown whether or not the request limits it. Adjustments come after the ratio: a
+    model that is known to be wanting costs 75, quantities in different units 10, a verified list of certificates earns 5."""
+    rel, moq, top, lead, limit = (F.col(c) for c in ("relation", "moq", "max_moq", "lead_days", "max_lead"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    within = lambda value, ceiling: value * 100 <= ceiling * (100 + tolerance_pct)
     flags = [F.col(c) for c in ("oem_odm", "private_label", "brand_export")]
-    some = F.array_contains(F.array(*[F.coalesce(f, F.lit(False)) for f in flags]), True)  # for a request that takes either
-    either = (F.col("model") == "either") & some
-    model = _ladder(either | F.when(F.col("model") == "either", ~some & (flags[0] & flags[1] & flags[2]).isNotNull()).otherwise(flag.isNotNull()), (either, 56), ((F.col("model") != "either") & flag, 60), unknown=18)
-    size = _ladder(top.isNull() | moq.isNotNull(), (top.isNull(), 44), (moq * 2 <= top, 55), (moq <= top, 47), unknown=17)
-    lead = _ladder(F.col("max_lead").isNull() | F.col("lead_days").isNotNull(), (F.col("max_lead").isNull(), 20), (F.col("lead_days") <= F.col("max_lead"), 25), unknown=8)
-    cap = _ladder(F.col("quantity").isNull() | F.col("capacity").isNotNull(), (F.col("quantity").isNull(), 16), (F.col("capacity") >= 2 * F.col("quantity"), 20), (F.col("capacity") >= F.col("quantity"), 16), unknown=6)
-    need, have = F.size("required_certs"), F.size(F.array_intersect("required_certs", "certs"))
-    comply = _ladder(F.col("certs").isNotNull(), ((have == need) & F.coalesce(F.col("certs_verified"), F.lit(False)), 55), (have == need, 38), (have * 2 >= need, 35), (have > 0, 20), unknown=17)
+    flag = F.when(F.col("model") == "oem_odm", flags[0]).when(F.col("model") == "private_label", flags[1]).otherwise(flags[2])
+    some, known = yes(flags[0]) | yes(flags[1]) | yes(flags[2]), F.coalesce(*flags).isNotNull()
+    either = F.col("model") == "either"
+    product = _ladder(rel.isNotNull(), (rel == "exact", 60), (rel == "parent", 42), (rel == "adjacent", 24), unknown=18)
+    model = _ladder(known, (either & some, 56), (either, 0), (yes(flag), 60), (flag.isNull() & some, 36), unknown=18)
+    model += F.when(~known, 4).otherwise(sum((F.when(f, p).otherwise(0) for f, p in zip(flags, (5, 5, 2), strict=True)), F.lit(0)))
+    kind = F.col("company_type")
+    model += _ladder(kind.isNotNull(), *[(kind == k, p) for k, p in COMPANY_POINTS.items()], unknown=6)
+    same_unit = F.col("moq_unit") == F.col("rfq_unit")
+    size = _ladder(moq.isNotNull() & same_unit, (top.isNull(), 44), (moq * 2 <= top, 55), (moq <= top, 47), (within(moq, top), 25), unknown=17)
+    lead_time = _ladder(lead.isNotNull(), (limit.isNull(), 20), (lead <= limit, 25), (within(lead, limit), 12), unknown=8)
+    cap = _ladder(F.col("capacity").isNotNull(), (F.col("quantity").isNull(), 16), (F.col("capacity") >= 2 * F.col("quantity"), 20), (F.col("capacity") >= F.col("quantity"), 16), unknown=6)
+    need, have, certs = F.size("required_certs"), F.size(F.array_intersect("required_certs", "certs")), F.col("certs")
+    verified, asked = yes(F.col("certs_verified")), F.size("required_certs") > 0
+    comply = F.when(asked, _ladder(certs.isNotNull(), ((have == need) & verified, 55), (have == need, 38), (have * 2 >= need, 35), (have > 0, 20), unknown=17)).otherwise(0)
+    held = lambda tokens: F.arrays_overlap(certs, F.array(*map(F.lit, tokens)))
+    comply += _ladder(certs.isNotNull(), (held(QUALITY_CERTS), 10), (held(OTHER_QUALITY_CERTS), 6), unknown=3)
     market = _ladder(F.col("seller_region").isNotNull(), (F.col("seller_country") == F.col("destination"), 45), (F.col("seller_region") == F.col("destination_region"), 32), unknown=14, otherwise=22)
-    scaled = lambda points, best: clamp(half_up_ratio(points, F.lit(best), 100), 0, 100).cast("int")
-    df = df.withColumns({"product_fit": scaled(product, 60), "model_fit": scaled(model, 60), "operation_fit": scaled(size + lead + cap, 100), "compliance_fit": scaled(comply, 55), "market_fit": scaled(market, 45)})
+    scaled = lambda points, best, adjust=0: clamp(half_up_ratio(points, best if isinstance(best, Column) else F.lit(best), 100) + adjust, 0, 100).cast("int")
+    df = df.withColumns({
+        "product_fit": scaled(product, 60), "model_fit": scaled(model, 92, F.when(~either & ~flag, -75).otherwise(0)), "operation_fit": scaled(size + lead_time + cap, 100, F.when(~same_unit, -10).otherwise(0)),
+        "compliance_fit": scaled(comply, F.when(asked, 65).otherwise(10), F.when(verified, 5).otherwise(0)), "market_fit": scaled(market, 45),
+    })
     df = df.withColumn("evidence_quality", F.coalesce("evidence_quality", F.lit(0)))
     total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0))
     return df.withColumn("base_score", half_up_ratio(total, F.lit(100)).cast("int"))

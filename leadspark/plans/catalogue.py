@@ -212,13 +212,13 @@ def rerank_guard(spark, sf):
 # Rubric scores of sellers
 
 RUBRIC = [("S-CM2", "commercial_model", 12, "sum_capped"), ("S-CM4", "commercial_model", 20, "max"), ("S-EX2", "export_readiness", 30, "max"), ("S-CP4", "compliance_readiness", 10, "max")]
-PRICES = [("S-CM2", "oem_odm", 5), ("S-CM2", "private_label", 5), ("S-CM2", "brand_export", 2), ("S-CM4", "oem_odm", 20), ("S-CM4", "manufacturer", 20), ("S-CM4", "brand", 8), ("S-CM4", "distributor", 4), ("S-CM4", "other", 2), ("S-EX2", "english", 30), ("S-EX2", "partial", 18), ("S-EX2", "false", 0), ("S-CP4", "ISO22716", 10), ("S-CP4", "CGMP", 10), ("S-CP4", "HALAL", 6)]
+PRICES = [("S-CM2", "oem_odm", 5), ("S-CM2", "private_label", 5), ("S-CM2", "brand_export", 2), ("S-CM4", "oem_odm", 20), ("S-CM4", "manufacturer", 20), ("S-CM4", "brand", 8), ("S-CM4", "distributor", 4), ("S-CM4", "other", 2), ("S-EX2", "english", 30), ("S-EX2", "partial", 18), ("S-EX2", "false", 0), ("S-CP4", "ISO22716", 10), ("S-CP4", "CGMP", 10), *[("S-CP4", c, 6) for c in matching.OTHER_QUALITY_CERTS]]
 SCORE_WEIGHTS = {"commercial_model": 20, "export_readiness": 10, "compliance_readiness": 15}
 _CRITERIA = f"""{O.SELLERS},
-crit AS (SELECT seller_id AS owner_id, 'S-CM2' AS criterion, 'commercial_model' AS dimension, 12 AS max_points, CASE WHEN oem_odm OR private_label OR brand_export THEN least(12, 5 * coalesce(oem_odm, false)::INT + 5 * coalesce(private_label, false)::INT + 2 * coalesce(brand_export, false)::INT) WHEN oem_odm IS NULL OR private_label IS NULL THEN 4 ELSE 0 END AS earned, (oem_odm IS NULL OR private_label IS NULL) AND NOT coalesce(oem_odm OR private_label OR brand_export, false) AS unknown FROM sellers
+crit AS (SELECT seller_id AS owner_id, 'S-CM2' AS criterion, 'commercial_model' AS dimension, 12 AS max_points, CASE WHEN oem_odm OR private_label OR brand_export THEN least(12, 5 * coalesce(oem_odm, false)::INT + 5 * coalesce(private_label, false)::INT + 2 * coalesce(brand_export, false)::INT) WHEN oem_odm IS NULL AND private_label IS NULL AND brand_export IS NULL THEN 4 ELSE 0 END AS earned, (oem_odm IS NULL AND private_label IS NULL AND brand_export IS NULL) AND NOT coalesce(oem_odm OR private_label OR brand_export, false) AS unknown FROM sellers
  UNION ALL SELECT seller_id, 'S-CM4', 'commercial_model', 20, CASE company_type WHEN 'oem_odm' THEN 20 WHEN 'manufacturer' THEN 20 WHEN 'brand' THEN 8 WHEN 'distributor' THEN 4 WHEN 'other' THEN 2 ELSE 6 END, company_type IS NULL FROM sellers
  UNION ALL SELECT seller_id, 'S-EX2', 'export_readiness', 30, CASE WHEN english IS NULL THEN 9 WHEN english = 0 THEN 0 WHEN english = 1 THEN 18 ELSE 30 END, english IS NULL FROM sellers WHERE seller_id % 6 <> 0
- UNION ALL SELECT seller_id, 'S-CP4', 'compliance_readiness', 10, CASE WHEN certs IS NULL THEN 3 WHEN list_has_any(certs, ['ISO22716', 'CGMP']) THEN 10 WHEN list_contains(certs, 'HALAL') THEN 6 ELSE 0 END, certs IS NULL FROM sellers),
+ UNION ALL SELECT seller_id, 'S-CP4', 'compliance_readiness', 10, CASE WHEN certs IS NULL THEN 3 WHEN list_has_any(certs, ['ISO22716', 'CGMP']) THEN 10 ELSE 0 END, certs IS NULL FROM sellers),
 dims AS (SELECT owner_id, dimension, CAST(greatest(0, least(100, (200 * sum(earned) + sum(max_points)) // (2 * sum(max_points)) - CASE WHEN dimension = 'commercial_model' AND any_value(s.operational_status) = 'closed' THEN 20 ELSE 0 END)) AS INT) AS score FROM crit JOIN sellers s ON s.seller_id = owner_id GROUP BY 1, 2),
 qual AS (SELECT owner_id, CAST((2 * sum(score * w) + sum(w)) // (2 * sum(w)) AS INT) AS qualification_score FROM (SELECT *, CASE dimension WHEN 'commercial_model' THEN 20 WHEN 'export_readiness' THEN 10 ELSE 15 END AS w FROM dims) GROUP BY 1)"""
 
@@ -234,7 +234,7 @@ def criteria(spark, sf):
     signals = s.select(F.col("seller_id").alias("owner_id"), F.explode(F.concat(found, certs)).alias("x")).select("owner_id", "x.*")
     state = lambda c, unknown, applies: F.struct(F.lit(c).alias("criterion"), F.coalesce(unknown, F.lit(False)).alias("is_unknown"), applies.alias("applies"))
     yes = F.lit(True)
-    states = F.array(state("S-CM2", F.col("oem_odm").isNull() | F.col("private_label").isNull(), yes), state("S-CM4", F.col("company_type").isNull(), yes), state("S-EX2", F.col("english").isNull(), F.col("seller_id") % 6 != 0), state("S-CP4", F.col("certs").isNull(), yes))
+    states = F.array(state("S-CM2", F.coalesce("oem_odm", "private_label", "brand_export").isNull(), yes), state("S-CM4", F.col("company_type").isNull(), yes), state("S-EX2", F.col("english").isNull(), F.col("seller_id") % 6 != 0), state("S-CP4", F.col("certs").isNull(), yes))
     states = s.select(F.col("seller_id").alias("owner_id"), F.explode(states).alias("x")).select("owner_id", "x.*")
     rubric = spark.createDataFrame(RUBRIC, "criterion string, dimension string, max_points int, aggregation string")
     return scoring.criterion_scores(signals, states, rubric, spark.createDataFrame(PRICES, "criterion string, signal string, points int"))

@@ -59,13 +59,15 @@ rules AS (SELECT *,
 failing AS (SELECT *, list_filter([CASE WHEN hf1 = 'fail' THEN 'HF-01' END, CASE WHEN hf2 = 'fail' THEN 'HF-02' END, CASE WHEN hf3 = 'fail' THEN 'HF-03' END, CASE WHEN hf4 = 'fail' THEN 'HF-04' END,
   CASE WHEN hf5 = 'fail' THEN 'HF-05' END, CASE WHEN hf6 = 'fail' THEN 'HF-06' END, CASE WHEN hf7 = 'fail' THEN 'HF-07' END, CASE WHEN hf8 = 'fail' THEN 'HF-08' END], lambda x: x IS NOT NULL) AS failed FROM rules),
 parts AS (SELECT *, CASE relation WHEN 'exact' THEN 60 WHEN 'parent' THEN 42 WHEN 'adjacent' THEN 24 WHEN 'none' THEN 0 ELSE 18 END AS pf,
-  CASE WHEN model = 'either' THEN CASE WHEN coalesce(oem_odm, false) OR coalesce(private_label, false) OR coalesce(brand_export, false) THEN 56 WHEN oem_odm IS NULL OR private_label IS NULL OR brand_export IS NULL THEN 18 ELSE 0 END WHEN has_model IS NULL THEN 18 WHEN has_model THEN 60 ELSE 0 END AS mf,
-  CASE WHEN max_moq IS NULL THEN 44 WHEN moq IS NULL THEN 17 WHEN moq * 2 <= max_moq THEN 55 WHEN moq <= max_moq THEN 47 ELSE 0 END + CASE WHEN max_lead IS NULL THEN 20 WHEN lead_days IS NULL THEN 8 WHEN lead_days <= max_lead THEN 25 ELSE 0 END
-  + CASE WHEN quantity IS NULL THEN 16 WHEN capacity IS NULL THEN 6 WHEN capacity >= 2 * quantity THEN 20 WHEN capacity >= quantity THEN 16 ELSE 0 END AS opf,
-  len(required_certs) AS need, len(list_intersect(required_certs, certs)) AS have FROM failing),
-comp AS (SELECT *, (200 * pf + 60) // 120 AS product_fit, (200 * mf + 60) // 120 AS model_fit, (200 * opf + 100) // 200 AS operation_fit,
-  (200 * CASE WHEN certs IS NULL THEN 17 WHEN have = need AND coalesce(certs_verified, false) THEN 55 WHEN have = need THEN 38 WHEN have * 2 >= need THEN 35 WHEN have > 0 THEN 20 ELSE 0 END + 55) // 110 AS compliance_fit,
-  (200 * CASE WHEN seller_region IS NULL THEN 14 WHEN seller_country = destination THEN 45 WHEN seller_region = destination_region THEN 32 ELSE 22 END + 45) // 90 AS market_fit, coalesce(evidence_quality, 0) AS eq FROM parts),
+  oem_odm IS NULL AND private_label IS NULL AND brand_export IS NULL AS silent, list_contains([oem_odm, private_label, brand_export], true) AS some_model, moq_unit <> rfq_unit AS other_unit, len(required_certs) AS need, len(list_intersect(required_certs, certs)) AS have FROM failing),
+points AS (SELECT *, CASE WHEN silent THEN 18 + 4 ELSE CASE WHEN model = 'either' AND some_model THEN 56 WHEN model = 'either' THEN 0 WHEN has_model THEN 60 WHEN has_model IS NULL AND some_model THEN 36 ELSE 0 END + coalesce(oem_odm, false)::INT * 5 + coalesce(private_label, false)::INT * 5 + coalesce(brand_export, false)::INT * 2 END
+  + CASE company_type WHEN 'oem_odm' THEN 20 WHEN 'manufacturer' THEN 20 WHEN 'brand' THEN 8 WHEN 'distributor' THEN 4 WHEN 'other' THEN 2 ELSE 6 END AS mf,
+  CASE WHEN moq IS NULL OR other_unit THEN 17 WHEN max_moq IS NULL THEN 44 WHEN moq * 2 <= max_moq THEN 55 WHEN moq <= max_moq THEN 47 ELSE 0 END + CASE WHEN lead_days IS NULL THEN 8 WHEN max_lead IS NULL THEN 20 WHEN lead_days <= max_lead THEN 25 ELSE 0 END
+  + CASE WHEN capacity IS NULL THEN 6 WHEN quantity IS NULL THEN 16 WHEN capacity >= 2 * quantity THEN 20 WHEN capacity >= quantity THEN 16 ELSE 0 END AS opf,
+  CASE WHEN need = 0 THEN 0 WHEN certs IS NULL THEN 17 WHEN have = need THEN CASE WHEN certs_verified THEN 55 ELSE 38 END WHEN have * 2 >= need THEN 35 WHEN have > 0 THEN 20 ELSE 0 END + CASE WHEN certs IS NULL THEN 3 WHEN list_has_any(certs, ['ISO22716', 'CGMP']) THEN 10 ELSE 0 END AS cf, CASE WHEN need = 0 THEN 10 ELSE 65 END AS cmax FROM parts),
+comp AS (SELECT *, (200 * pf + 60) // 120 AS product_fit, greatest(0, least(100, (200 * mf + 92) // 184 - CASE WHEN model <> 'either' AND NOT has_model THEN 75 ELSE 0 END)) AS model_fit, greatest(0, (200 * opf + 100) // 200 - CASE WHEN other_unit THEN 10 ELSE 0 END) AS operation_fit,
+  least(100, (200 * cf + cmax) // (2 * cmax) + CASE WHEN certs_verified THEN 5 ELSE 0 END) AS compliance_fit,
+  (200 * CASE WHEN seller_region IS NULL THEN 14 WHEN seller_country = destination THEN 45 WHEN seller_region = destination_region THEN 32 ELSE 22 END + 45) // 90 AS market_fit, coalesce(evidence_quality, 0) AS eq FROM points),
 scored AS (SELECT *, CAST((2 * (product_fit * 30 + model_fit * 20 + operation_fit * 15 + compliance_fit * 15 + market_fit * 10 + eq * 10) + 100) // 200 AS INT) AS base_score FROM comp)"""
 
 REVIEWS = """

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadspark.operators import calibrate, merge, violations
+from leadspark.operators import calibrate, matching, merge, violations
 
 VALUES = "component long, absorbed boolean, record_id long, field string, value string, evidence_id long, confidence double, tier int, source_date date, official boolean"
 
@@ -66,3 +66,28 @@ def test_no_violation_of_unknown(spark):
     got = sorted((r.id, r.rule, r.what) for r in violations.unsafe_cells(cells, "id", ["a", "b"], ("b",)).collect())
     assert got == [(1, "formula", "b"), (3, "formula", "a"), (3, "personal", "b")]
     assert [r.x for r in spark.createDataFrame([("NA",), ("na",), (None,)], "v string").select(violations.stand_in(F.col("v"), True).alias("x")).collect()] == [False, True, None]
+
+
+def _scored(spark, **given):
+    plain = {"relation": "'exact'", "model": "'oem_odm'", "oem_odm": "true", "private_label": "cast(null as boolean)", "brand_export": "cast(null as boolean)", "company_type": "'manufacturer'", "moq": "1200", "max_moq": "3000", "moq_unit": "'units'", "rfq_unit": "'units'", "lead_days": "30", "max_lead": "60", "capacity": "150000", "quantity": "5000", "required_certs": "array('CGMP')", "certs": "array('CGMP')", "certs_verified": "true", "seller_region": "'R'", "destination_region": "'R'", "seller_country": "'A'", "destination": "'A'", "evidence_quality": "80"}
+    return matching.with_scores(spark.sql("select " + ", ".join(f"{v} as {k}" for k, v in (plain | given).items())), 10).first()
+
+
+def test_match_components(spark):
+    r = _scored(spark)
+    assert (r.product_fit, r.model_fit, r.operation_fit, r.compliance_fit, r.market_fit) == (100, 92, 100, 100, 100)
+    assert _scored(spark, moq="2500", max_lead="cast(null as int)").operation_fit == 47 + 20 + 20
+    assert _scored(spark, moq="cast(null as int)", max_moq="cast(null as int)", lead_days="cast(null as int)", capacity="cast(null as int)").operation_fit == 17 + 8 + 6
+    assert _scored(spark, moq="3300", lead_days="66", capacity="4000").operation_fit == 25 + 12
+    assert _scored(spark, moq_unit="'kg'").operation_fit == 17 + 25 + 20 - 10
+    # the wanted model is unknown, a related one is there: 36 + 5 + 20 of 92; known to be wanting: 60 - 75
+    assert _scored(spark, model="'private_label'").model_fit == 66
+    assert _scored(spark, model="'private_label'", private_label="false").model_fit == 0
+    assert _scored(spark, model="'either'", oem_odm="false", private_label="false").model_fit == 22
+    assert _scored(spark, oem_odm="cast(null as boolean)").model_fit == 46
+    # no required certificates: only the quality system counts
+    nothing = "cast(array() as array<string>)"
+    assert _scored(spark, required_certs=nothing, certs="array('HALAL')", certs_verified="false").compliance_fit == 0
+    assert _scored(spark, required_certs=nothing, certs="array('ECOCERT')", certs_verified="false").compliance_fit == 60
+    assert _scored(spark, certs="cast(null as array<string>)", certs_verified="false").compliance_fit == 31
+    assert _scored(spark, required_certs="array('CGMP', 'HALAL', 'VEGAN')", certs_verified="false").compliance_fit == 46
