@@ -34,7 +34,7 @@ def rule_conditions(tolerance_pct: int = 0) -> dict[str, tuple[Column, Column]]:
     return {
         "HF-01": (F.col("wanted_category").isNotNull(), F.when(F.col("relation").isNotNull(), F.col("relation").isin("exact", "parent"))),
         "HF-02": (model != "either", flag),
-        "HF-03": (F.col("max_moq").isNotNull(), F.when(F.col("moq_unit") == F.col("rfq_unit"), within("moq", "max_moq"))),
+        "HF-03": (F.col("max_moq").isNotNull(), F.when(F.coalesce("moq_unit", F.lit("units")) == F.coalesce("rfq_unit", F.lit("units")), within("moq", "max_moq"))),
         "HF-04": ((F.size("required_certs") > 0) & F.coalesce("certs_verified", F.lit(False)), F.when(F.col("certs").isNotNull(), certs)),
         "HF-05": (F.col("destination").isNotNull() & F.col("excluded_markets").isNotNull(), ~F.array_contains("excluded_markets", F.col("destination"))),
         "HF-06": (F.lit(True), F.coalesce(~F.col("operational_status").isin("closed", "unreachable"), F.lit(True))),
@@ -103,6 +103,17 @@ QUALITY_CERTS = ("ISO22716", "CGMP")
 OTHER_QUALITY_CERTS = ("ISO9001", "ISO14001", "GMP_KOREA", "COSMOS", "ECOCERT")
 
 
+def with_seller_points(sellers: DataFrame) -> DataFrame:
+    """Adds what a seller earns whatever is asked: own_points (breadth of models, role) and quality_points. Priced before
+    sellers meet requests, so once a seller and not once a candidate."""
+    flags = [F.col(c) for c in ("oem_odm", "private_label", "brand_export")]
+    kind, certs = F.col("company_type"), F.col("certs")
+    breadth = F.when(F.coalesce(*flags).isNull(), 4).otherwise(sum((F.when(f, p).otherwise(0) for f, p in zip(flags, (5, 5, 2), strict=True)), F.lit(0)))
+    role = _ladder(kind.isNotNull(), *[(kind == k, p) for k, p in COMPANY_POINTS.items()], unknown=6)
+    held = lambda tokens: F.arrays_overlap(certs, F.array(*map(F.lit, tokens)))
+    return sellers.withColumns({"own_points": breadth + role, "quality_points": _ladder(certs.isNotNull(), (held(QUALITY_CERTS), 10), (held(OTHER_QUALITY_CERTS), 6), unknown=3)})
+
+
 def with_scores(df: DataFrame, tolerance_pct: int = 0) -> DataFrame:
     """Component scores (0 to 100), contributions in hundredths, and base_score, their unrounded sum rounded once.
 
@@ -119,24 +130,23 @@ def with_scores(df: DataFrame, tolerance_pct: int = 0) -> DataFrame:
     either = F.col("model") == "either"
     product = _ladder(rel.isNotNull(), (rel == "exact", 60), (rel == "parent", 42), (rel == "adjacent", 24), unknown=18)
     model = _ladder(known, (either & some, 56), (either, 0), (yes(flag), 60), (flag.isNull() & some, 36), unknown=18)
-    model += F.when(~known, 4).otherwise(sum((F.when(f, p).otherwise(0) for f, p in zip(flags, (5, 5, 2), strict=True)), F.lit(0)))
-    kind = F.col("company_type")
-    model += _ladder(kind.isNotNull(), *[(kind == k, p) for k, p in COMPANY_POINTS.items()], unknown=6)
-    same_unit = F.col("moq_unit") == F.col("rfq_unit")
+    model += F.col("own_points")
+    same_unit = F.coalesce("moq_unit", F.lit("units")) == F.coalesce("rfq_unit", F.lit("units"))
     size = _ladder(moq.isNotNull() & same_unit, (top.isNull(), 44), (moq * 2 <= top, 55), (moq <= top, 47), (within(moq, top), 25), unknown=17)
     lead_time = _ladder(lead.isNotNull(), (limit.isNull(), 20), (lead <= limit, 25), (within(lead, limit), 12), unknown=8)
     cap = _ladder(F.col("capacity").isNotNull(), (F.col("quantity").isNull(), 16), (F.col("capacity") >= 2 * F.col("quantity"), 20), (F.col("capacity") >= F.col("quantity"), 16), unknown=6)
-    need, have, certs = F.size("required_certs"), F.size(F.array_intersect("required_certs", "certs")), F.col("certs")
-    verified, asked = yes(F.col("certs_verified")), F.size("required_certs") > 0
+    need, have, certs = F.col("_need"), F.col("_have"), F.col("certs")
+    verified, asked = yes(F.col("certs_verified")), F.col("_need") > 0
     comply = F.when(asked, _ladder(certs.isNotNull(), ((have == need) & verified, 55), (have == need, 38), (have * 2 >= need, 35), (have > 0, 20), unknown=17)).otherwise(0)
-    held = lambda tokens: F.arrays_overlap(certs, F.array(*map(F.lit, tokens)))
-    comply += _ladder(certs.isNotNull(), (held(QUALITY_CERTS), 10), (held(OTHER_QUALITY_CERTS), 6), unknown=3)
+    comply += F.col("quality_points")
     market = _ladder(F.col("seller_region").isNotNull(), (F.col("seller_country") == F.col("destination"), 45), (F.col("seller_region") == F.col("destination_region"), 32), unknown=14, otherwise=22)
     scaled = lambda points, best, adjust=0: clamp(half_up_ratio(points, best if isinstance(best, Column) else F.lit(best), 100) + adjust, 0, 100).cast("int")
+    df = df if "own_points" in df.columns else with_seller_points(df)
+    df = df.withColumns({"_need": F.size("required_certs"), "_have": F.size(F.array_intersect("required_certs", "certs"))})
     df = df.withColumns({
         "product_fit": scaled(product, 60), "model_fit": scaled(model, 92, F.when(~either & ~flag, -75).otherwise(0)), "operation_fit": scaled(size + lead_time + cap, 100, F.when(~same_unit, -10).otherwise(0)),
         "compliance_fit": scaled(comply, F.when(asked, 65).otherwise(10), F.when(verified, 5).otherwise(0)), "market_fit": scaled(market, 45),
-    })
+    }).drop("_need", "_have")
     df = df.withColumn("evidence_quality", F.coalesce("evidence_quality", F.lit(0)))
     total = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0))
     return df.withColumn("base_score", half_up_ratio(total, F.lit(100)).cast("int"))

@@ -80,10 +80,10 @@ def rfqs(spark: SparkSession, sf: str) -> DataFrame:
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Requests with the sellers that offer the same part: an equi-join, so candidates grow with the offers."""
     from leadspark.operators.evidence import quality
-    from leadspark.operators.matching import category_relation
+    from leadspark.operators.matching import category_relation, with_seller_points
 
     q = quality(evidence(spark, sf), MATERIAL, F.lit(AS_OF).cast("date"), owners(spark, sf)).select(F.col("owner_id").alias("_owner"), F.col("quality").alias("evidence_quality"))
-    s = sellers(spark, sf).join(q, F.col("seller_id") == F.col("_owner"), "left").drop("_owner")
+    s = with_seller_points(sellers(spark, sf)).join(q, F.col("seller_id") == F.col("_owner"), "left").drop("_owner")
     j = rfqs(spark, sf).join(offers(spark, sf), "part_id").join(s, "seller_id")
     return j.withColumn("relation", category_relation(F.col("wanted_category"), F.col("category"), PARENTS, ADJACENT))
 
