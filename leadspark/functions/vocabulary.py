@@ -204,3 +204,9 @@ def region_covers(regions: Column, code: Column) -> Column:
     named = lambda r: F.upper(F.trim(r))
     covers = lambda r: F.coalesce(F.array_contains(F.try_element_at(F.map_from_arrays(F.array(*map(F.lit, members)), F.array(*[F.array(*map(F.lit, v)) for v in members.values()])), named(r)), F.upper(F.trim(code))), F.lit(False))
     return F.coalesce(F.exists(regions, covers), F.lit(False))
+
+
+def country_list(session: SparkSession, texts: Column) -> Column:
+    """(codes, refused): the codes of a list of countries in their first order, each once, and the entries that name none."""
+    code = lambda x: F.nullif(country(session, x), F.lit("unknown"))
+    return F.struct(F.array_distinct(F.array_compact(F.transform(texts, code))).alias("codes"), F.filter(texts, lambda x: code(x).isNull()).alias("refused"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadspark.functions.vocabulary import UNITS, unit
+
 #: Local parts of role mailboxes, and domains where anybody can have an address.
 ROLE_MAILBOXES = ("b2b", "brands", "business", "buying", "contact", "distribution", "einkauf", "enquiries", "enquiry", "export", "exports", "hello", "import", "imports", "info", "inquiries", "inquiry", "kaigai", "odm", "oem", "office", "orders", "partner", "partners", "partnership", "partnerships", "procurement", "purchasing", "sales", "sellers", "sourcing", "trade", "vertrieb", "wholesale")
 FREE_MAIL = ("gmail.com", "googlemail.com", "yahoo.com", "hotmail.com", "outlook.com", "live.com", "aol.com", "naver.com", "daum.net", "hanmail.net", "qq.com", "163.com", "126.com")
@@ -113,8 +115,53 @@ def readiness(rfqs: DataFrame, fields: list[str]) -> DataFrame:
     return rfqs.select("rfq_id", filled.cast("int").alias("filled"), F.lit(len(fields)).alias("of"), gaps.alias("missing"))
 
 
+def cuts_no_word(message: Column, quote: Column) -> Column:
+    """The quote stands in the message somewhere without starting or ending inside a word of ASCII letters and digits
+    ("on" in "toner" does not count). Other scripts put particles on a word, so they are not held to it. False for an empty quote."""
+    literal = F.concat(F.lit(r"\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    before = F.when(quote.rlike("^[0-9A-Za-z]"), "(?<![0-9A-Za-z])").otherwise("")
+    after = F.when(quote.rlike(r"[0-9A-Za-z]\z"), "(?![0-9A-Za-z])").otherwise("")
+    return (quote != "") & F.contains(message, quote) & F.call_function("rlike", message, F.concat(before, literal, after))
+
+
 def held_quotes(quotes: DataFrame, messages: DataFrame) -> DataFrame:
-    """conv_id, turn, quote of the quotes (conv_id, quote; folded) that stand in a message (conv_id, turn, t; folded) of
-    the same conversation. An empty quote proves nothing and is in none."""
+    """conv_id, turn, quote of the quotes (conv_id, quote; folded) that stand whole in a message (conv_id, turn, t; folded)
+    of the same conversation. An empty quote proves nothing and is in none."""
     q = quotes.where("quote <> ''")
-    return q.join(messages, "conv_id").where(F.contains("t", "quote")).select("conv_id", "turn", "quote")
+    return q.join(messages, "conv_id").where(cuts_no_word(F.col("t"), F.col("quote"))).select("conv_id", "turn", "quote")
+
+
+def stated_amount(value: Column, unit_text: Column) -> Column:
+    """(value, unit, question, error) of an amount as a buyer wrote it: a number without a unit is held and asked for, as a
+    guess would be; a unit that is neither known nor of a currency's three letters is an error."""
+    named = ~F.coalesce(F.lower(F.trim(unit_text)).isin("", "unknown", "."), F.lit(True))
+    canonical = unit(unit_text)
+    known = canonical.isin(*sorted(set(UNITS.values()))) | canonical.rlike("^[a-z]{3}$")
+    fine = value.isNotNull() & named & known
+    return F.struct(F.when(fine, value).alias("value"), F.when(fine, canonical).alias("unit"), F.when(value.isNotNull() & ~named, "unit_unstated").alias("question"), F.coalesce(value.isNotNull() & named & ~known, F.lit(False)).alias("error"))
+
+
+def quantity_text(low: Column, high: Column, unit_name: Column) -> Column:
+    """1,000-5,000 units; one number where both ends are equal; unknown where either is."""
+    plain = lambda x: F.regexp_replace(F.format_number(x.cast("decimal(20,6)"), 6), r"\.?0+$", "")
+    text = F.when(low == high, plain(low)).otherwise(F.concat(plain(low), F.lit("-"), plain(high)))
+    return F.when(text.isNull(), "unknown").otherwise(F.concat_ws(" ", text, F.nullif(unit_name, F.lit(""))))
+
+
+def export_rows(records: DataFrame, columns: list[str], dimensions: list[str], droppable: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a lead sheet as text: the columns (lists joined; unknown, none), then dim_<name> of the map dimension_scores
+    (unknown without scores, not_applicable for a droppable dimension that is left out), then missing, score_version, as_of."""
+
+    def cell(name: str) -> Column:
+        c, kind = F.col(name), records.schema[name].dataType.typeName()
+        if kind == "array":
+            return export_cell(F.transform(c, lambda x: x.cast("string")), F.lit(True), F.lit(False))
+        text = c.cast("string")
+        return F.when(text.isNull() | F.lower(F.trim(text)).isin("", "unknown"), "unknown").otherwise(text)
+
+    scores = F.col("dimension_scores")
+    dims = [
+        F.when(scores.isNull(), "unknown").when(F.lit(d in droppable) & ~F.map_contains_key(scores, F.lit(d)), "not_applicable").otherwise(F.coalesce(F.try_element_at(scores, F.lit(d)).cast("string"), F.lit("unknown"))).alias(f"dim_{d}")
+        for d in dimensions
+    ]
+    return records.select(*[cell(c).alias(c) for c in columns], *dims, *[cell(c).alias(c) for c in ("missing", "score_version", "as_of")])

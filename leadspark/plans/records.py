@@ -260,9 +260,42 @@ def run_pairs(spark, sf):
 
 
 @query("""WITH folded AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM conversations), quotes AS (SELECT DISTINCT conv_id, unnest(string_split(t, '. ')) AS quote FROM folded f WHERE turn = (SELECT min(turn) FROM conversations c WHERE c.conv_id = f.conv_id))
-SELECT q.conv_id, turn, count(*) AS held FROM quotes q JOIN folded f ON f.conv_id = q.conv_id AND contains(t, quote) WHERE quote <> '' GROUP BY 1, 2""")
+SELECT q.conv_id, turn, count(*) AS held FROM quotes q JOIN folded f ON f.conv_id = q.conv_id AND contains(t, quote) WHERE quote <> '' AND regexp_matches(t, CASE WHEN regexp_matches(quote, '^[0-9a-z]') THEN '(^|[^0-9a-z])' ELSE '' END || regexp_escape(quote) || CASE WHEN regexp_matches(quote, '[0-9a-z]$') THEN '([^0-9a-z]|$)' ELSE '' END) GROUP BY 1, 2""")
 def quote_containment(spark, sf):
     c = read(spark, sf, "conversations").select("conv_id", "turn", publish.fold_text(F.col("text")).alias("t"))
     first = c.groupBy("conv_id").agg(F.min_by("t", "turn").alias("t"))
     quotes = first.select("conv_id", F.explode(F.split("t", r"\. ")).alias("quote")).distinct()
     return publish.held_quotes(quotes, c).groupBy("conv_id", "turn").agg(F.count("*").alias("held"))
+
+
+# Sheets and amounts
+
+
+@query("""SELECT c_custkey AS record_id, CASE WHEN c_custkey % 5 = 0 THEN 'unknown' ELSE CASE WHEN c_custkey % 3 = 0 THEN '' ELSE printf('%s-', format('{:,}', c_custkey * 1000)) END || format('{:,}', c_custkey * 2000) || ' units' END AS quantity FROM customer""")
+def quantity_texts(spark, sf):
+    k = F.col("c_custkey")
+    low, high = F.when(k % 5 != 0, F.when(k % 3 == 0, k * 2000).otherwise(k * 1000)), k * 2000
+    return read(spark, sf, "customer").select(k.alias("record_id"), publish.quantity_text(low, high, F.lit("units")).alias("quantity"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS record_id, CASE c_custkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'none' WHEN 2 THEN 'a' ELSE 'a; b' END AS brands, CASE WHEN c_custkey % 7 = 0 THEN 'unknown' ELSE CAST(c_custkey % 10 AS VARCHAR) END AS dim_fit,
+CASE WHEN c_custkey % 7 = 0 THEN 'unknown' WHEN c_custkey % 2 = 0 THEN 'not_applicable' ELSE '5' END AS dim_reach, 'none' AS missing, CASE WHEN c_custkey % 2 = 0 THEN 'unknown' ELSE 'v1' END AS score_version, '2024-02-15' AS as_of FROM customer""")
+def export_sheet(spark, sf):
+    k = F.col("c_custkey")
+    fit = (k % 10).cast("int")
+    scores = F.when(k % 7 != 0, F.when(k % 2 == 0, F.create_map(F.lit("fit"), fit)).otherwise(F.create_map(F.lit("fit"), fit, F.lit("reach"), F.lit(5))))
+    r = read(spark, sf, "customer").select(
+        k.alias("record_id"), F.when(k % 4 != 0, F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (k % 4 - 1).cast("int"))).alias("brands"), scores.alias("dimension_scores"), F.array().cast("array<string>").alias("missing"),
+        F.when(k % 2 == 0, " ").otherwise("v1").alias("score_version"), F.lit("2024-02-15").cast("date").alias("as_of"),
+    )
+    return publish.export_rows(r, ["record_id", "brands"], ["fit", "reach"], ("reach",))
+
+
+@query(f"""WITH {_table("units", V.UNITS.items(), "spelling, unit")}, raw AS (SELECT c_custkey AS record_id, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey * 10 END AS amount, {_list(["pcs", "KRW", "jars of", None, " ", "kgs"])}[c_custkey % 6 + 1] AS u FROM customer),
+c AS (SELECT record_id, amount, trim(coalesce(u, '')) <> '' AS named, coalesce(unit, replace(lower(u), ' ', '')) AS canon, unit IS NOT NULL OR regexp_matches(replace(lower(u), ' ', ''), '^[a-z]{{3}}$') AS known FROM raw LEFT JOIN units ON spelling = replace(lower(u), ' ', ''))
+SELECT record_id, CASE WHEN named AND known THEN amount END AS value, CASE WHEN named AND known AND amount IS NOT NULL THEN canon END AS unit, CASE WHEN amount IS NOT NULL AND NOT named THEN 'unit_unstated' END AS question, amount IS NOT NULL AND named AND NOT known AS error FROM c""")
+def stated_amounts(spark, sf):
+    k = F.col("c_custkey")
+    u = F.get(F.array(*map(F.lit, ("pcs", "KRW", "jars of", None, " ", "kgs"))), (k % 6).cast("int"))
+    r = read(spark, sf, "customer").select(k.alias("record_id"), publish.stated_amount(F.when(k % 5 != 0, k * 10), u).alias("x"))
+    return r.select("record_id", "x.*")

@@ -107,3 +107,9 @@ def merge(existing: DataFrame, incoming: DataFrame, ranks: dict[str, int]) -> tu
     taken = outcomes.where("outcome in ('created', 'updated')").select("id", "score", "status")
     kept = existing.select("id", "score", "status").join(taken.select("id"), "id", "left_anti")
     return kept.unionByName(taken), outcomes
+
+
+def write_rows(rows: DataFrame, path: str, guard: bool = True) -> None:
+    """Text rows as CSV with a header, guarded against formulas unless the reader is no spreadsheet."""
+    cells = [csv_safe(F.col(c)).alias(c) for c in rows.columns] if guard else rows.columns
+    rows.select(*cells).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leadspark.operators import calibrate, matching, merge, violations
+from leadspark.functions import vocabulary
+from leadspark.operators import calibrate, matching, merge, publish, violations
+from leadspark.sources import tables
 
 VALUES = "component long, absorbed boolean, record_id long, field string, value string, evidence_id long, confidence double, tier int, source_date date, official boolean"
 
@@ -91,3 +93,21 @@ def test_match_components(spark):
     assert _scored(spark, required_certs=nothing, certs="array('ECOCERT')", certs_verified="false").compliance_fit == 60
     assert _scored(spark, certs="cast(null as array<string>)", certs_verified="false").compliance_fit == 31
     assert _scored(spark, required_certs="array('CGMP', 'HALAL', 'VEGAN')", certs_verified="false").compliance_fit == 46
+
+
+def test_quotes_cut_no_word(spark):
+    rows = [("a toner", "on", False), ("on a toner", "on", True), ("인도네시아에 판매", "인도네시아", True), ("c++ \\E+", "\\E+", True), ("abc", "", False), ("x 10", "1", False), ("10,000 pcs.", "10,000 pcs", True), (None, "a", None)]
+    df = spark.createDataFrame([(k, m, q) for k, (m, q, _) in enumerate(rows)], "k int, m string, q string")
+    got = [r.x for r in df.select("k", publish.cuts_no_word(F.col("m"), F.col("q")).alias("x")).orderBy("k").collect()]
+    assert got == [x for _, _, x in rows]
+
+
+def test_amounts_countries_and_sheets(spark, tmp_path):
+    df = spark.createDataFrame([(k, a, u) for k, (a, u) in enumerate([(5, "PCS"), (5, None), (5, "jars of"), (None, None), (5, "usd")])], "k int, a int, u string")
+    assert [tuple(r.x) for r in df.select("k", publish.stated_amount(F.col("a"), F.col("u")).alias("x")).orderBy("k").collect()] == [(5, "units", None, False), (None, None, "unit_unstated", False), (None, None, None, True), (None, None, None, False), (5, "usd", None, False)]
+    q = spark.createDataFrame([(0, 1000.0, 5000.0), (1, 2.5, 2.5), (2, None, 3.0), (3, 0.0, 10.0)], "k int, a double, b double")
+    assert [r.x for r in q.select("k", publish.quantity_text(F.col("a"), F.col("b"), F.lit("kg")).alias("x")).orderBy("k").collect()] == ["1,000-5,000 kg", "2.5 kg", "unknown", "0-10 kg"]
+    c = spark.createDataFrame([(["UK", "영국", "Mars", "kr", None],), (None,), ([],)], "v array<string>").select(vocabulary.country_list(spark, F.col("v")).alias("x")).collect()
+    assert [tuple(r.x) for r in c] == [(["GB", "KR"], ["Mars", None]), (None, None), ([], [])]
+    tables.write_rows(spark.createDataFrame([("=1", "b")], "a string, c string"), str(tmp_path / "s"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "s")).collect() == [("'=1", "b")]
