@@ -6,6 +6,9 @@ at most one bit: so each half is indexed as it is and once for every bit with th
 signatures meet in an equality join, in which a wildcard's two sides must differ at the wildcard, so that a pair meets
 once for each half; every pair met is verified over all 64 bits. Linked fingerprints are then joined into components.
 
+Sizes on disk don't tell how many rows come of a table here (66 signatures of a fingerprint), so Spark is not left to
+decide by them what it broadcasts: only tables whose rows have been counted are, up to BROADCAST_ROWS of them.
+
 A signature that very many fingerprints share is cut once more the same way: its pairs differ in at most three bits of
 the other half, so one of that half's quarters differs in at most one bit.
 
@@ -29,6 +32,8 @@ SHINGLE, HASH_SEED, MOST_BITS = 3, 42, 3
 #: A signature of more fingerprints than this is cut once more.
 HOT = 512
 HALF = 0xFFFFFFFF
+#: A table of more rows than this is never broadcast, however small its file is: it would pass through the driver.
+BROADCAST_ROWS = 20_000
 
 
 def fingerprint(words: list[bytes], size: int = SHINGLE) -> int:
@@ -69,6 +74,11 @@ def _signatures(value: Column, bits: int, first_tag: int) -> Column:
     return F.array(*exact, *[row(first_tag + 1 + p, value.bitwiseAND(F.lit(~(1 << p))), bit(p)) for p in range(bits)])
 
 
+def _side(table: DataFrame) -> DataFrame:
+    """A written table as the second side of a join: broadcast if its rows are few, merged if not."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table.hint("merge")
+
+
 def _halves(fp: Column) -> Column:
     low = lambda shift: F.shiftright(fp, shift).bitwiseAND(F.lit(HALF)).cast("long")
     return F.concat(_signatures(low(0), 32, 0), _signatures(low(32), 32, 33))
@@ -80,7 +90,7 @@ def _pairs(rows: DataFrame, keys: list[str], exact: Column, most: int) -> DataFr
     on = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most) & (~exact | (F.col("a.fp") < F.col("b.fp")))
     for k in keys:
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(b, on).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
+    return a.join(b.hint("merge"), on).select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
 
 
 def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
@@ -92,6 +102,7 @@ def links(nodes: DataFrame, most: int = MOST_BITS) -> DataFrame:
     is_exact = F.col("a.tag").isin(0, 33)
     if hot.isEmpty():
         return _pairs(rows, ["tag", "rest"], is_exact, most).distinct()
+    hot = _side(hot)
     cold = _pairs(rows.join(hot, ["tag", "rest"], "left_anti"), ["tag", "rest"], is_exact, most)
     # In a hot signature the other half's quarters are indexed: each pair that differs in at most three bits there
     # meets under one of them. Either side of the first wildcard may be on either side of the second.
@@ -115,7 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         point = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "cc-point")
         while True:
-            up = point.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+            up = _side(point.select(F.col("node").alias("_node"), F.col("root").alias("_root")))
             jumped = point.join(up, point["root"] == up["_node"]).select("node", F.col("_root").alias("root"), (F.col("_root") != F.col("root")).alias("moved"))
             jumped = materialise(jumped, "cc-jump")
             point, moved = jumped.select("node", "root"), jumped.where("moved")
@@ -124,9 +135,9 @@ def components(edges: DataFrame) -> DataFrame:
         if total is None:
             total = point
         else:
-            p = point.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+            p = _side(point.select(F.col("node").alias("_node"), F.col("root").alias("_root")))
             total = materialise(total.join(p, total["root"] == p["_node"], "left").select("node", F.coalesce("_root", "root").alias("root")), "cc-total")
-        pa_, pb = point.select(F.col("node").alias("a"), F.col("root").alias("ra")), point.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        pa_, pb = _side(point.select(F.col("node").alias("a"), F.col("root").alias("ra"))), _side(point.select(F.col("node").alias("b"), F.col("root").alias("rb")))
         edges = materialise(edges.join(pa_, "a").join(pb, "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "cc-edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if total is None else total
 
@@ -138,10 +149,10 @@ def cluster(documents: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) ->
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
     nodes = materialise(docs.groupBy("fp").agg(first.alias("least")), "simhash-nodes")
     roots = components(links(nodes, most))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(_side(roots), nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    named = materialise(rooted.join(ids, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("first_h")), "simhash-named")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id", "h", "first_h")
+    named = materialise(rooted.join(ids.hint("merge"), "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.h").alias("first_h")), "simhash-named")
+    return docs.join(_side(named), "fp").select("doc_id", "fp", "component_id", "h", "first_h")
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -156,7 +167,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))
     gone = materialise(found.where(~first).select("doc_id", "h").distinct(), "simhash-gone")
     twice = found.where(first).groupBy("doc_id", "h").count().where("count > 1")
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
+    gone = _side(gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")))
     columns = [F.col(f"`{c}`") for c in documents.columns]
     docs = documents.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("_doc_id"), _text_hash().alias("_text_hash"))
     kept = docs.join(gone, docs["_doc_id"].eqNullSafe(gone["_id"]) & (docs["_text_hash"] == gone["_h"]), "left_anti")

@@ -85,3 +85,16 @@ def test_deduplicate_keeps_one_row_of_each_component(spark, make_docs):
     kept = sorted(((r.doc_id, r.text or "") for r in H.deduplicate(make_docs(docs)).collect()), key=str)
     want = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (3, texts[4]), (2, ""), (9, "one id with two texts"), (9, "the second text of nine")]
     assert kept == sorted(want, key=str)
+
+
+def test_only_counted_tables_are_broadcast(spark, monkeypatch, make_docs):
+    """66 signatures come of a fingerprint, so a file within Spark's limit may not be broadcast: the driver would hold them all."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    nodes = spark.createDataFrame([(k * 7919,) for k in range(100)], "fp long").localCheckpoint()
+    docs = make_docs([(k, f"text {k % 5} of some words {k % 3}") for k in range(20)])
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    assert "Broadcast" not in plan(H.links(nodes)) and "BroadcastHashJoin" in plan(H.cluster(docs))
+    want = sorted((tuple(r) for r in H.report(docs).collect()), key=str)
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    assert "Broadcast" not in plan(H.cluster(docs)) and "Broadcast" not in plan(H.deduplicate(docs))
+    assert sorted((tuple(r) for r in H.report(docs).collect()), key=str) == want == brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
