@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import map_batches, materialise, record, remainder, texts_of, words_of
+from leadspark.llm.common import map_batches, materialise, record, remainder, short_batches, texts_of, words_of
 
 #: Units of frequent words, units of the rest, classes besides that of the end token, rounds of exchange at most.
 FREQUENT, BUCKETS, CLASSES, ROUNDS = 1023, 512, 48, 12
@@ -306,62 +306,62 @@ ELSEWHERE = 255
 
 def sequences(documents: DataFrame, model: Model, is_train: Column) -> DataFrame:
     """doc_id, train, n_tokens, n_known, logs (the sum of log10(c + 1)) and classes (a byte a token, the end's last) for
-    each row. Words that don't travel are first marked and listed, once a text; each such list joins the classes
-    word by word, comes back to its text by a number that its row was written with, and is filled in."""
+    each row. Words that don't travel are first marked and listed, once a text, with the classes of their endings; each
+    such list joins the classes word by word, comes back to its text, without words, by a number that its row was written
+    with, and is filled in."""
     shared = documents.sparkSession.sparkContext.broadcast((model.local, np.log10(model.local_counts + 1.0), model.class_of, model.local_counts > 0))
 
     def mark():
         local, logs, class_of, known = shared.value
         index, n_local = _Index(local), len(local)
         of = np.concatenate([class_of[:n_local], np.full(BUCKETS, ELSEWHERE)]).astype(np.uint8)
+        buckets = class_of[-BUCKETS:].astype(np.uint8)
         logs, known = np.concatenate([logs, np.zeros(BUCKETS)]), np.concatenate([known, np.zeros(BUCKETS, bool)])
         row = TaskContext.get().partitionId() << 40
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal row
-            stats, seqs, rare, uses = [], [], [], []
+            stats, seqs, rare, ends, uses = [], [], [], [], []
             for text in texts_of(batch):
                 ws = words_of(text)
                 ws.append(END)
                 at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
                 ids: dict[bytes, int] = {}
-                use = [ids.setdefault(ws[j], len(ids)) for j in np.flatnonzero(at >= n_local).tolist()]
+                elsewhere = np.flatnonzero(at >= n_local)
+                use = np.fromiter((ids.setdefault(ws[j], len(ids)) for j in elsewhere.tolist()), np.int32, len(elsewhere))
+                end = np.zeros(len(ids), np.uint8)
+                end[use] = buckets[at[elsewhere] - n_local]
                 stats.append((len(ws), int(known[at].sum()), float(logs[at].sum())))
                 seqs.append(of[at].tobytes())
                 rare.append(list(ids))
-                uses.append(np.array(use, np.int32).tobytes())
+                ends.append(end.tobytes())
+                uses.append(use.tobytes())
             ids_ = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
             return record(
                 row=ids_, doc_id=batch.column("doc_id"), train=batch.column("train"), n_tokens=pa.array([x[0] for x in stats], pa.int64()), n_known=pa.array([x[1] for x in stats], pa.int64()),
-                logs=pa.array([x[2] for x in stats], pa.float64()), classes=pa.array(seqs, pa.binary()), rare=pa.array(rare, pa.list_(pa.binary())), uses=pa.array(uses, pa.binary()),
+                logs=pa.array([x[2] for x in stats], pa.float64()), classes=pa.array(seqs, pa.binary()), rare=pa.array(rare, pa.list_(pa.binary())), ends=pa.array(ends, pa.binary()), uses=pa.array(uses, pa.binary()),
             )
 
         return each
 
     docs = documents.select("doc_id", is_train.alias("train"), F.col("text").cast("string").alias("text"))
     own = f"doc_id {dict(docs.dtypes)['doc_id']}, train boolean, n_tokens long, n_known long, logs double, classes binary"
-    marked = materialise(map_batches(docs, mark, f"row long, {own}, rare array<binary>, uses binary"), "brown-marked")
+    marked = materialise(map_batches(docs, mark, f"row long, {own}, rare array<binary>, ends binary, uses binary"), "brown-marked")
     asked = marked.select("row", F.posexplode("rare").alias("p", "word"))
     answers = asked.join(model.rest, "word").groupBy("row").agg(F.collect_list(F.struct("p", "n", "class")).alias("found"))  # no more than the text's words
-    filled = marked.join(answers, "row", "left").drop("row")
+    filled = marked.drop("rare").join(answers, "row", "left").drop("row")
 
     def fill():
-        _, _, class_of, _ = shared.value
-        buckets = class_of[-BUCKETS:]
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             """All rows at once: what is listed, used and marked in them follows one order."""
-            flat = {c: b"".join(x.as_buffer().to_pybytes() for x in batch.column(c)) for c in ("classes", "uses")}
+            flat = {c: b"".join(x.as_buffer().to_pybytes() for x in batch.column(c)) for c in ("classes", "ends", "uses")}
             sequence, uses = np.frombuffer(flat["classes"], np.uint8).copy(), np.frombuffer(flat["uses"], np.int32)
-            rare, found = batch.column("rare"), batch.column("found")
-            first, words = rare.offsets.to_numpy() - rare.offsets[0].as_py(), rare.flatten()
-            of, count = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
+            of, found = np.frombuffer(flat["ends"], np.uint8).copy(), batch.column("found")  # a listed word is known if it is found
+            count, first = np.zeros(len(of), np.int64), np.cumsum([0, *(len(x.as_buffer()) for x in batch.column("ends"))])
             answers, sizes = found.flatten(), np.nan_to_num(pc.list_value_length(found).to_numpy(zero_copy_only=False)).astype(np.int64)
             at = np.repeat(first[:-1], sizes) + answers.field("p").to_numpy()
             of[at], count[at] = answers.field("class").to_numpy(), answers.field("n").to_numpy()
-            for i in np.flatnonzero(of < 0).tolist():
-                of[i] = buckets[suffix_bucket(words[i].as_py())]
             used = np.array([len(x.as_buffer()) // 4 for x in batch.column("uses")], np.int64)
             place = uses + np.repeat(first[:-1], used)
             sequence[sequence == ELSEWHERE] = of[place]
@@ -431,7 +431,9 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 def report(documents: DataFrame) -> DataFrame:
     train_row = remainder(F.col("doc_id"), 7) != 2
-    model = train(documents, train_row)
-    written = sequences(documents, model, train_row)
-    scored = score(written, model, transitions(written, model))
+    with short_batches(documents.sparkSession):
+        model = train(documents, train_row)
+        written = sequences(documents, model, train_row)
+        transition = transitions(written, model)
+    scored = score(written, model, transition)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -19,6 +19,8 @@ from leadspark.cluster import ship
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows in one Arrow batch handed to Python; texts can be long.
 BATCH_ROWS = 1000
+#: Bytes in one, about, within short_batches().
+BATCH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +89,21 @@ def map_batches(df: DataFrame, make: Callable[[], tuple[Callable, Callable] | Ca
     return df.mapInArrow(run, schema)
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within it gets batches of BATCH_ROWS rows and about BATCH_BYTES at most, where Spark would make them of
+    10,000 rows: executor and Python worker each hold a batch whole, and room to grow in. The session's settings return."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k) for k in most}
+    try:
+        for k, v in most.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

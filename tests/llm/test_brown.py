@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadspark.llm import brown as B
-from leadspark.llm.common import remainder, table
+from leadspark.llm.common import BATCH_ROWS, map_batches, materialise, record, remainder, table
 from tests.llm.conftest import EDGE
 
 
+SHORT = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+
+
 def tokens(text):
     return [*(text or "").encode().lower().split(), B.END]
 
@@ -100,6 +103,27 @@ def test_classes_and_score_by_hand(spark, make_docs, monkeypatch, local):
     assert len(rows) == len(docs) and all(abs(r.score - by[r.doc_id]) < 1e-6 * max(1, abs(r.score)) for r in rows)
 
 
+def test_what_an_executor_holds(spark, make_docs, monkeypatch):
+    """Batches of every written step are as short as the slices, texts are joined without words; the session's settings return."""
+    sizes, handed = [], []
+
+    def written(df, name):
+        sizes.extend(r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(lambda it: (record(n=[b.num_rows]) for b in it), "n long").collect())
+        return materialise(df, name)
+
+    def mapped(df, *rest):
+        handed.append(df.columns)
+        return map_batches(df, *rest)
+
+    monkeypatch.setattr(B, "materialise", written)
+    monkeypatch.setattr(B, "map_batches", mapped)
+    before = [spark.conf.get(k) for k in SHORT]
+    assert B.report(make_docs(EDGE)).count() == len(EDGE)
+    assert max(sizes) <= BATCH_ROWS
+    assert [c for c in handed if "found" in c] == [["doc_id", "train", "n_tokens", "n_known", "logs", "classes", "ends", "uses", "found"]]
+    assert before == [spark.conf.get(k) for k in SHORT]
+
+
 def test_exchange_against_brute_force():
     """No single move raises the likelihood any more, and separate vocabularies end in separate classes."""
     rng = np.random.default_rng(1)
