@@ -90,13 +90,11 @@ def map_batches(df: DataFrame, make: Callable[[], tuple[Callable, Callable] | Ca
 
 
 @contextlib.contextmanager
-def short_batches(spark: SparkSession) -> Iterator[None]:
-    """What runs within it gets batches of BATCH_ROWS rows and about BATCH_BYTES at most, where Spark would make them of
-    10,000 rows: executor and Python worker each hold a batch whole, and room to grow in. The session's settings return."""
-    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
-    before = {k: spark.conf.get(k) for k in most}
+def _settings(spark: SparkSession, wanted: dict[str, object]) -> Iterator[None]:
+    """The session's settings return when it ends."""
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
-        for k, v in most.items():
+        for k, v in wanted.items():
             spark.conf.set(k, str(v))
         yield
     finally:
@@ -104,6 +102,18 @@ def short_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def short_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What runs within it gets batches of BATCH_ROWS rows and about BATCH_BYTES at most, where Spark would make them of
+    10,000 rows: executor and Python worker each hold a batch whole, and room to grow in."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES})
+
+
+def little_disk(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """What is made and run within it deletes its shuffled files as soon as it has run, where Spark would keep them until
+    the driver happens to collect garbage, and its Parquet tables are packed closely."""
+    return _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"})
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -1,13 +1,15 @@
 import math
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from leadspark.llm import brown as B
-from leadspark.llm.common import BATCH_ROWS, map_batches, materialise, record, remainder, table
+from leadspark.llm.common import BATCH_ROWS, map_batches, materialise, record, remainder, table, words_of
 from tests.llm.conftest import EDGE
 
 
@@ -124,6 +126,42 @@ def test_what_an_executor_holds(spark, make_docs, monkeypatch):
     assert before == [spark.conf.get(k) for k in SHORT]
 
 
+def test_words_of_slices():
+    """Words and suffix buckets of whole slices are those of each text and word alone."""
+    texts = ["", None, "ab", "CD e\u00c9F", " x", "y ", "\u00a0\x1c\x85 \x0b\x0cz\r", "\t\n", "\x00 long-word-Here", None, "\u2003a b\U0001f600C abcd"]
+    for column in (pa.array(texts), pa.array(["no", *texts, "no"]).slice(1, len(texts)), pa.array(texts[:2]), pa.array([], pa.string())):
+        want = [words_of((t or "").encode()) for t in column.to_pylist()]
+        words, sizes = B.split(column)
+        assert words.to_pylist() == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+        assert B.suffix_buckets(words).tolist() == [B.suffix_bucket(w) for w in words.to_pylist()]
+
+
+def test_what_a_run_reads_and_leaves(spark, make_docs, monkeypatch):
+    """Texts are cut into words twice only; shuffled files are gone once their step has run; counts handed on early add up."""
+    handed = []
+
+    def mapped(df, *rest):
+        handed.append(df.columns)
+        return map_batches(df, *rest)
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.size()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    monkeypatch.setattr(B, "map_batches", mapped)
+    docs, order = make_docs(small(make_docs)), lambda r: (str(r.doc_id), r.n_tokens)
+    before = shuffled()
+    want = sorted(B.report(docs).collect(), key=order)
+    assert sum("text" in c for c in handed) == 2
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    monkeypatch.setattr(B, "HELD", 0)
+    got = sorted(B.report(docs).collect(), key=order)
+    assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[5:] for r in got], [r[5:] for r in want])
+
+
 def test_exchange_against_brute_force():
     """No single move raises the likelihood any more, and separate vocabularies end in separate classes."""
     rng = np.random.default_rng(1)
